@@ -62,4 +62,4 @@ def uniform(seed: int | str, *parts: Column) -> Column:
     partitioning was, and other SQL engines can repeat it.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4294967296.0)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(2.0**52)

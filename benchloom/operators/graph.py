@@ -7,9 +7,12 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from benchloom.functions.columns import uniform
-from benchloom.operators.skew import hot_keys, lookup_join, per_salt, shuffle_parts, with_salt
+from benchloom.operators.skew import hot_keys, lookup_join, per_salt, shuffle_parts, sliced_join, with_salt
 from benchloom.storage import cut
 
+# Random edges that are drawn from one array at a time.
+BLOCK = 10_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair of neighbours once, smaller id first, without self-loops."""
@@ -41,13 +44,11 @@ def triangles(edges: DataFrame) -> DataFrame:
     """
     pairs = cut(undirected(edges), "pairs")
     size = cut(degrees(pairs).select("id", "degree"), "degrees")
-    hot = hot_keys(size, "id", "degree")
     sides = pairs
     for end, other in (("src", "dst"), ("dst", "src")):
-        sides = lookup_join(
-            sides, size.select(F.col("id").alias(end), F.struct("degree", "id").alias(f"{end}_order")),
-            end, hot.withColumnRenamed("id", end), [other],
-        )
+        order = size.select(F.col("id").alias(end), F.col("degree").alias("n"),
+                            F.struct("degree", "id").alias(f"{end}_order"))
+        sides = lookup_join(sides, order, end, [other])
     up = F.col("src_order") < F.col("dst_order")
     pointed = sides.select(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("low"),
@@ -55,9 +56,10 @@ def triangles(edges: DataFrame) -> DataFrame:
     )
     targets = cut(pointed.groupBy("low").agg(F.collect_list("high").alias("targets")), "targets")
     pulls = targets.select("low", F.explode("targets").alias("high"), "targets")
-    # A vertex that many point to is looked up by all of them: split by in-degree.
-    pull_counts = pulls.groupBy("high").agg(F.count("*").alias("n"))
-    common = lookup_join(
+    # A vertex that many point to is looked up by all of them, so it is hot by in-degree.
+    # No broadcast: the size of a neighbour list is not fixed.
+    pull_counts = cut(pulls.groupBy("high").agg(F.count("*").alias("n")), "pulls")
+    common = sliced_join(
         pulls, targets.select(F.col("low").alias("high"), F.col("targets").alias("high_targets")),
         "high", hot_keys(pull_counts, "high"), ["low"],
     ).select("low", "high", F.array_intersect("targets", "high_targets").alias("apex"))
@@ -85,15 +87,16 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     Ranks start at 1 and become reset + (1 - reset) * sum(rank / out-degree) over in-edges;
     ranks are not normalized and the rank of vertices without out-edges is not spread.
 
-    Links are partitioned once by source, hot sources in slices, and stay cached; an iteration
-    shuffles only ranks and messages, the latter summed per target before the shuffle.
+    Links are partitioned and sorted once by source, hot sources in slices, and stay cached; an
+    iteration shuffles only ranks and messages, the latter summed per target before the shuffle.
+    `edges` is read twice, so pass a stored table rather than a costly query.
     """
     spark = edges.sparkSession
     degree = cut(degrees(edges).select("id", "out_degree"), "out-degrees")
-    hot = hot_keys(degree.where("out_degree > 0"), "id", "out_degree").withColumnRenamed("id", "src")
+    hot = hot_keys(degree.where("out_degree > 0"), "id", "out_degree", "src")
     links = (
         with_salt(edges.select("src", "dst"), "src", hot, ["dst"], "slice")
-        .repartition(shuffle_parts(spark), "src", "slice").persist()
+        .repartition(shuffle_parts(spark), "src", "slice").sortWithinPartitions("src", "slice").persist()
     )
     # out_degree travels with the rank, so that no iteration has to look it up. The zero
     # message of each vertex keeps those alive that get no other.
@@ -124,10 +127,14 @@ def lognormal_edges(vertices: DataFrame, n: int, mu: float = 4.0, sigma: float =
     """
     u1, u2 = uniform(seed, F.lit("a"), F.col("id")), uniform(seed, F.lit("b"), F.col("id"))
     normal = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-    degree = F.least(F.floor(F.exp(mu + sigma * normal)), F.lit(n - 1)).cast("int")
+    degree = F.least(F.floor(F.exp(mu + sigma * normal)), F.lit(n - 1)).cast("long")
+    # Explode in two steps, so that a vertex of very high degree is never one huge array.
+    blocks = F.sequence(F.lit(1), F.col("degree"), F.lit(BLOCK))
+    block = F.sequence(F.col("first"), F.least(F.col("first") + (BLOCK - 1), F.col("degree")))
     return (
         vertices.select("id", degree.alias("degree")).where("degree > 0")
-        .select("id", F.explode(F.sequence(F.lit(1), F.col("degree"))).alias("k"))
+        .select("id", "degree", F.explode(blocks).alias("first"))
+        .select("id", F.explode(block).alias("k"))
         .select(F.col("id").alias("src"),
                 F.floor(uniform(seed, F.lit("t"), F.col("id"), F.col("k")) * n).cast("long").alias("dst"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from benchloom.operators.skew import keep_keys
+from benchloom.storage import cut
 
 
 def _verdicts(logs: DataFrame, pattern: str) -> DataFrame:
@@ -19,4 +20,4 @@ def check_logs(logs: DataFrame, pattern: str) -> DataFrame:
 
 def failed_lines(logs: DataFrame, pattern: str) -> DataFrame:
     """The whole log of every run without a matching line."""
-    return keep_keys(logs, _verdicts(logs, pattern), "run", ~F.col("ok"))
+    return keep_keys(logs, cut(_verdicts(logs, pattern), "verdicts"), "run", ~F.col("ok"))

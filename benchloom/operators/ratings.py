@@ -19,25 +19,72 @@ def bias_baseline(ratings: DataFrame) -> DataFrame:
     mu = ratings.agg(F.avg("rating")).scalar()
     rows = ratings
     for key, other in (("user", "item"), ("item", "user")):
-        means = _mean_by(ratings, key)
-        rows = lookup_join(rows, means.drop("n"), key, hot_keys(means, key), [other])
+        rows = lookup_join(rows, cut(_mean_by(ratings, key), f"{key}-means"), key, [other])
     return rows.select(
         "user", "item", "rating", (F.col("user_mean") + F.col("item_mean") - mu).alias("baseline")
     )
 
 
-def fit_als(ratings: DataFrame, rank: int = 10, iters: int = 10, reg: float = 0.1, seed: int = 42) -> ALSModel:
+# ALS takes ids of this range only.
+MAX_ALS_ID = 2**31 - 1
+
+
+def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
+    """Every id of a column with its count and a number, 0 and up without gaps.
+
+    Rows are numbered inside their partition, and partitions are offset by the rows before
+    them; no sort and no single task over all ids.
+    """
+    spark = ratings.sparkSession
+    position = F.monotonically_increasing_id()  # partition number in the upper 31 bits
+    placed = cut(
+        ratings.groupBy(key).agg(F.count("*").alias("n")).withColumn("place", position), f"{key}-ids"
+    )
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size")).orderBy("part").collect()
+    offsets, before = [], 0
+    for row in sizes:  # one row per partition
+        offsets.append((row["part"], before))
+        before += row["size"]
+    known = spark.createDataFrame(offsets, "part long, before long")
+    number = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    return cut(
+        placed.withColumn("part", part).join(F.broadcast(known), "part")
+        .select(key, "n", number.cast("int").alias(f"{key}_number")),
+        f"{key}-numbers",
+    )
+
+
+class Als:
+    """Fitted ALS model, with the numbering of ids that do not fit its integers."""
+
+    def __init__(self, model: ALSModel, users: DataFrame | None = None, items: DataFrame | None = None):
+        self.model, self.users, self.items = model, users, items
+
+    def numbered(self, pairs: DataFrame) -> DataFrame:
+        if self.users is None:
+            return pairs.withColumns({"user_number": F.col("user"), "item_number": F.col("item")})
+        pairs = lookup_join(pairs, self.users, "user", ["item"])
+        return lookup_join(pairs, self.items, "item", ["user"])
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        """Estimated rating of each (user, item) pair the model knows both ends of."""
+        return self.model.transform(self.numbered(pairs)).drop("user_number", "item_number")
+
+
+def fit_als(ratings: DataFrame, rank: int = 10, iters: int = 10, reg: float = 0.1, seed: int = 42) -> Als:
     """Matrix factorization by alternating least squares."""
     work_dir(ratings.sparkSession)  # ALS cuts its lineage in the checkpoint folder
-    return ALS(
-        userCol="user", itemCol="item", ratingCol="rating", rank=rank, maxIter=iters,
+    spans = [f(c) for c in ("user", "item") for f in (F.min, F.max)]
+    low_user, high_user, low_item, high_item = ratings.agg(*spans).first()
+    fits = min(low_user, low_item) >= 0 and max(high_user, high_item) <= MAX_ALS_ID
+    frame = Als(None) if fits else Als(None, _dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
+    als = ALS(
+        userCol="user_number", itemCol="item_number", ratingCol="rating", rank=rank, maxIter=iters,
         regParam=reg, seed=seed, coldStartStrategy="drop",
-    ).fit(ratings.withColumn("rating", F.col("rating").cast("float")))
-
-
-def als_score(model: ALSModel, pairs: DataFrame) -> DataFrame:
-    """Predicted rating of each (user, item) pair the model knows both ends of."""
-    return model.transform(pairs)
+    )
+    frame.model = als.fit(frame.numbered(ratings).withColumn("rating", F.col("rating").cast("float")))
+    return frame
 
 
 def rmse(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -63,8 +110,7 @@ class SvdPlusPlus:
     def predict(self, pairs: DataFrame) -> DataFrame:
         """Estimate for (user, item) pairs the model knows both ends of."""
         for side, key, other in ((self.users, "user", "item"), (self.items, "item", "user")):
-            counts = pairs.groupBy(key).agg(F.count("*").alias("n"))
-            pairs = lookup_join(pairs, side.drop("n"), key, hot_keys(counts, key), [other])
+            pairs = lookup_join(pairs, side, key, [other])
         names = ["user", "item", *(["rating"] if "rating" in pairs.columns else [])]
         return pairs.select(*names, self.estimate().alias("prediction"))
 

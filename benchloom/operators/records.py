@@ -73,10 +73,11 @@ def app_counts(apps: DataFrame, names: DataFrame, name: str = "benchmark") -> Da
 def _known(runs: DataFrame, apps: DataFrame, name: str) -> DataFrame:
     """Each workload once, with its count and whether it starts some application line."""
     starts = _prefixes(apps).distinct().withColumn("known", F.lit(True))
-    return (
+    return cut(
         runs.groupBy(name).agg(F.count("*").alias("n"))
         .join(starts, F.col(name) == F.col("start"), "left")
-        .select(name, "n", F.coalesce("known", F.lit(False)).alias("known"))
+        .select(name, "n", F.coalesce("known", F.lit(False)).alias("known")),
+        "known",
     )
 
 

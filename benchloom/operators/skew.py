@@ -1,41 +1,42 @@
-"""Joins of many rows to one row per key, for when one key may hold a large share of the rows."""
+"""Joins of many rows to one row per key, for when one key may hold a large share of the rows.
+
+A lookup that is small enough by count is broadcast. Beyond that, rows are shuffled by key,
+and hot keys are cut into slices first. AQE's own skew join covers joins of two plain
+shuffles only; a lookup that is itself an aggregate would keep a hot key in one task.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# Most rows of a lookup table that are sent to every executor. Lookups have a few dozen
+# numeric columns at most, so this is tens of megabytes.
+BROADCAST_ROWS = 200_000
+
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """Keys that hold more than one partition's even share of all rows, and how often to split them.
-
-    `counts` has one row per key. With P shuffle partitions fewer than P keys can pass, so
-    the result is small enough to broadcast whatever the data size.
-    """
-    parts = shuffle_parts(counts.sparkSession)
-    total = counts.agg(F.sum(n)).scalar()
-    return counts.where(F.col(n) * parts > total).select(
-        key, F.ceil(F.col(n) * parts / total).cast("int").alias("splits")
-    )
+def is_small(table: DataFrame) -> bool:
+    """Whether a stored table may be broadcast, from its row count, which its files hold."""
+    return table.count() <= BROADCAST_ROWS
 
 
-def keep_keys(rows: DataFrame, per_key: DataFrame, key: str, keep: Column, n: str = "n") -> DataFrame:
-    """Rows whose key passes `keep`, a condition on `per_key`, which has each key of `rows` once.
+def hot_keys(counts: DataFrame, key: str, n: str = "n", name: str | None = None) -> DataFrame:
+    """Keys with more than one partition's even share of all rows, and into how many slices to cut them.
 
-    Rows of hot keys are kept or left by a broadcast of the hot keys and stay where they are;
-    only the rest is shuffled by key. NULL counts as a key.
+    `counts` is a stored table with each key once. With P shuffle partitions fewer than P keys
+    can pass the test, whatever the data size, which is why they may go through the driver and
+    be broadcast. Without any, the joins against them vanish from the plan.
     """
-    parts = shuffle_parts(rows.sparkSession)
-    is_hot = F.col(n) * parts > per_key.agg(F.sum(n)).scalar()
-    named = per_key.withColumn("_key", F.col(key)).drop(key)
-    same = rows[key].eqNullSafe(F.col("_key"))
-    hot = named.where(is_hot)
-    in_place = rows.join(F.broadcast(hot.where(keep).select("_key")), same, "left_semi")
-    rest = rows.join(F.broadcast(hot.select("_key")), same, "left_anti")
-    return in_place.unionByName(rest.join(named.where(keep).select("_key"), same, "left_semi"))
+    spark = counts.sparkSession
+    parts = shuffle_parts(spark)
+    total = counts.agg(F.sum(n)).scalar()
+    hot = counts.where(F.col(n) * parts > total).select(
+        F.col(key).alias(name or key), F.ceil(F.col(n) * parts / total).cast("int").alias("splits")
+    )
+    return spark.createDataFrame(hot.collect(), hot.schema)
 
 
 def with_salt(rows: DataFrame, key: str, hot: DataFrame, spread: list[str], name: str) -> DataFrame:
@@ -50,14 +51,32 @@ def per_salt(lookup: DataFrame, key: str, hot: DataFrame, name: str) -> DataFram
     return lookup.join(F.broadcast(hot), key, "left").withColumn(name, F.explode(slices)).drop("splits")
 
 
-def lookup_join(
-    rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, spread: list[str], how: str = "inner"
-) -> DataFrame:
-    """Join `rows` to the one `lookup` row of each key, hot keys cut into slices.
-
-    AQE splits a skewed partition only when both join inputs are plain shuffles; a lookup
-    that is itself an aggregate is not, and this covers that case.
-    """
+def sliced_join(rows: DataFrame, lookup: DataFrame, key: str, hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Inner join by shuffle, hot keys cut into slices by the `spread` columns."""
     left = with_salt(rows, key, hot, spread, "_slice")
     right = per_salt(lookup, key, hot, "_slice")
-    return left.join(right, [key, "_slice"], how).drop("_slice")
+    return left.join(right, [key, "_slice"]).drop("_slice")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, spread: list[str], n: str = "n") -> DataFrame:
+    """Inner join of `rows` to a stored `lookup` of each key with its count of rows in column `n`."""
+    if is_small(lookup):
+        return rows.join(F.broadcast(lookup.drop(n)), key)
+    return sliced_join(rows, lookup.drop(n), key, hot_keys(lookup, key, n), spread)
+
+
+def keep_keys(rows: DataFrame, per_key: DataFrame, key: str, keep: Column, n: str = "n") -> DataFrame:
+    """Rows whose key passes `keep`, a condition on `per_key`: a stored table of each key with its count.
+
+    Beyond broadcast size, rows of hot keys are kept or left where they are by a broadcast of
+    the hot keys, and only the rest is shuffled by key. NULL counts as a key.
+    """
+    kept = per_key.where(keep).select(F.col(key).alias("_key"))
+    same = rows[key].eqNullSafe(F.col("_key"))
+    if is_small(per_key):
+        return rows.join(F.broadcast(kept), same, "left_semi")
+    hot = hot_keys(per_key, key, n, "_key").select("_key")
+    hot_kept = hot.join(kept, hot["_key"].eqNullSafe(kept["_key"]), "left_semi")
+    in_place = rows.join(F.broadcast(hot_kept), same, "left_semi")
+    rest = rows.join(F.broadcast(hot), same, "left_anti")
+    return in_place.unionByName(rest.join(kept, same, "left_semi"))

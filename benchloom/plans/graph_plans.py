@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from benchloom.operators import graph
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load, trade_edges
+from benchloom.storage import cut
 
 registry = Registry()
 query = registry.query
@@ -31,6 +32,10 @@ def _edges(spark, d):
     return trade_edges(load(spark, d, "orders"), load(spark, d, "lineitem"))
 
 
+def _stored_edges(spark, d):
+    return cut(_edges(spark, d), "trade-edges")
+
+
 @query(f"""
     WITH {_EDGES}
     SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree
@@ -73,12 +78,12 @@ def _pagerank_sql() -> str:
 
 @query(_pagerank_sql())
 def pagerank(spark, d):
-    return graph.pagerank(_edges(spark, d), ITERS).withColumn("rank", F.round("rank", 6))
+    return graph.pagerank(_stored_edges(spark, d), ITERS).withColumn("rank", F.round("rank", 6))
 
 
 def _draw(*parts: str) -> str:
     digest = f"md5(concat_ws(':', '42', {', '.join(parts)}))"
-    return f"((('0x' || substr({digest}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"((('0x' || substr({digest}, 1, 13))::BIGINT + 0.5::DOUBLE) / {2**52}::DOUBLE)"
 
 
 @query(f"""

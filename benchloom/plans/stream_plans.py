@@ -113,6 +113,17 @@ def stream_active_users(spark, d):
     return _upsert(W.active_users(_stream(spark, d), "1 day"), "active")
 
 
+@query(f"""
+    SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + {DAY} AS window_end,
+           count(DISTINCT user_id) AS n_users
+    FROM events WHERE date_trunc('day', ts) + {DAY} <= (SELECT max(ts) FROM events) - {DAY} GROUP BY ALL
+""")
+def stream_active_users_exact(spark, d):
+    """Distinct users of each day the watermark has closed."""
+    users = W.active_users(_stream(spark, d), "1 day", exact=True)
+    return sink.run_append(users, new_path(spark, "active-exact"))[0]
+
+
 _SESSIONS = """
     SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n
     FROM (
