@@ -81,6 +81,19 @@ def triangle_total(edges: DataFrame) -> DataFrame:
     return triangles(edges).agg(total.cast("long").alias("triangles"))
 
 
+def _links(edges: DataFrame, hot: DataFrame) -> DataFrame:
+    """Edges placed and sorted by source, those of a hot source in several places."""
+    return (
+        with_salt(edges.select("src", "dst"), "src", hot, ["dst"], "slice")
+        .repartition(shuffle_parts(edges.sparkSession), "src", "slice").sortWithinPartitions("src", "slice")
+    )
+
+
+def _along(links: DataFrame, senders: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each link with the columns of its source; the links stay where they are."""
+    return links.join(per_salt(senders, "src", hot, "slice"), ["src", "slice"])
+
+
 def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
     """Rank of every vertex after a fixed number of iterations.
 
@@ -91,13 +104,9 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     iteration shuffles only ranks and messages, the latter summed per target before the shuffle.
     `edges` is read twice, so pass a stored table rather than a costly query.
     """
-    spark = edges.sparkSession
     degree = cut(degrees(edges).select("id", "out_degree"), "out-degrees")
     hot = hot_keys(degree.where("out_degree > 0"), "id", "out_degree", "src")
-    links = (
-        with_salt(edges.select("src", "dst"), "src", hot, ["dst"], "slice")
-        .repartition(shuffle_parts(spark), "src", "slice").sortWithinPartitions("src", "slice").persist()
-    )
+    links = _links(edges, hot).persist()
     # out_degree travels with the rank, so that no iteration has to look it up. The zero
     # message of each vertex keeps those alive that get no other.
     zero = degree.select("id", "out_degree", F.lit(0.0).alias("message"))
@@ -106,7 +115,7 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
         senders = ranks.where("out_degree > 0").select(
             F.col("id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("message")
         )
-        messages = links.join(per_salt(senders, "src", hot, "slice"), ["src", "slice"]).select(
+        messages = _along(links, senders, hot).select(
             F.col("dst").alias("id"), F.lit(None).cast("long").alias("out_degree"), "message"
         )
         ranks = messages.unionByName(zero).groupBy("id").agg(

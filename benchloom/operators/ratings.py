@@ -25,6 +25,9 @@ def bias_baseline(ratings: DataFrame) -> DataFrame:
     )
 
 
+# Width of the range around 0 from which SVD++ start factors are drawn.
+START = 0.5
+
 # ALS takes ids of this range only.
 MAX_ALS_ID = 2**31 - 1
 
@@ -127,7 +130,8 @@ def svdpp(
     """SVD++ (Koren, KDD 2008) by full-batch gradient steps; (user, item) pairs must be unique.
 
     A step moves each user and item by the mean gradient over its ratings, so that one with
-    very many ratings takes no larger step than others. Start factors are drawn from ids and
+    very many ratings takes no larger step than others; `rate` suits ratings up to about 5, and
+    larger ones need a smaller rate. Start factors are drawn from ids and
     seed. Factors are plain columns: sums over them run in generated code and are combined
     before each shuffle. Ratings stay cached, partitioned by item; an iteration shuffles them
     once, by user, and cuts the user and item state, which is small beside them.
@@ -147,7 +151,7 @@ def svdpp(
     )
 
     def draws(key: str, letter: str) -> list[Column]:
-        return [(0.1 * (uniform(seed, F.lit(c), F.col(key)) - 0.5)).alias(c) for c in _columns(letter, rank)]
+        return [(START * (uniform(seed, F.lit(c), F.col(key)) - 0.5)).alias(c) for c in _columns(letter, rank)]
 
     p, q, y, z, pz = (_columns(c, rank) for c in ("p", "q", "y", "z", "pz"))
     user_state = users.select("user", "n", (F.col("mean") - mean).alias("b_u"), *draws("user", "p"))
