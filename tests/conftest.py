@@ -14,8 +14,17 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, app="tests", spark__sql__shuffle__partitions="4")
+def event_logs(tmp_path_factory):
+    return tmp_path_factory.mktemp("event-log")
+
+
+@pytest.fixture(scope="session")
+def spark(event_logs):
+    return local_session(
+        8, app="tests", spark__sql__shuffle__partitions="4", spark__eventLog__enabled="true",
+        spark__eventLog__dir=f"file:{event_logs}", spark__eventLog__compress="false",
+        spark__eventLog__rolling__enabled="false",
+    )
 
 
 @pytest.fixture(params=["broadcast", "shuffle"])
