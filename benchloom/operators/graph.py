@@ -25,11 +25,10 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Out-, in- and total degree of every vertex, repeated edges counted as often as they occur."""
-    ends = F.array(
-        F.struct(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")),
-        F.struct(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")),
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("dst").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in"))
     )
-    return edges.select(F.inline(ends)).groupBy("id").agg(
+    return ends.groupBy("id").agg(
         F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree"),
         F.count("*").alias("degree"),
     )
@@ -83,15 +82,17 @@ def triangle_total(edges: DataFrame) -> DataFrame:
 
 def _links(edges: DataFrame, hot: DataFrame) -> DataFrame:
     """Edges placed and sorted by source, those of a hot source in several places."""
-    return (
-        with_salt(edges.select("src", "dst"), "src", hot, ["dst"], "slice")
-        .repartition(shuffle_parts(edges.sparkSession), "src", "slice").sortWithinPartitions("src", "slice")
-    )
+    links, key = edges.select("src", "dst"), ["src"]
+    if not hot.isEmpty():
+        links, key = with_salt(links, "src", hot, ["dst"], "slice"), ["src", "slice"]
+    return links.repartition(shuffle_parts(edges.sparkSession), *key).sortWithinPartitions(*key)
 
 
 def _along(links: DataFrame, senders: DataFrame, hot: DataFrame) -> DataFrame:
     """Each link with the columns of its source; the links stay where they are."""
-    return links.join(per_salt(senders, "src", hot, "slice"), ["src", "slice"])
+    if "slice" in links.columns:
+        return links.join(per_salt(senders, "src", hot, "slice"), ["src", "slice"])
+    return links.join(senders, "src")
 
 
 def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
@@ -100,31 +101,27 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     Ranks start at 1 and become reset + (1 - reset) * sum(rank / out-degree) over in-edges;
     ranks are not normalized and the rank of vertices without out-edges is not spread.
 
-    Links are partitioned and sorted once by source, hot sources in slices, and stay cached; an
-    iteration shuffles only ranks and messages, the latter summed per target before the shuffle.
-    `edges` is read twice, so pass a stored table rather than a costly query.
+    Links are placed and sorted once by source, hot sources in slices, and vertices by id; both
+    stay cached. An iteration shuffles only ranks and messages, the latter summed per target
+    before the shuffle. `edges` is read three times, so pass a stored table, not a costly query.
     """
+    parts = shuffle_parts(edges.sparkSession)
     degree = cut(degrees(edges).select("id", "out_degree"), "out-degrees")
     hot = hot_keys(degree.where("out_degree > 0"), "id", "out_degree", "src")
     links = _links(edges, hot).persist()
-    # out_degree travels with the rank, so that no iteration has to look it up. The zero
-    # message of each vertex keeps those alive that get no other.
-    zero = degree.select("id", "out_degree", F.lit(0.0).alias("message"))
-    ranks = degree.withColumn("rank", F.lit(1.0))
+    vertices = degree.repartition(parts, "id").sortWithinPartitions("id").persist()
+    ranks = vertices.withColumn("rank", F.lit(1.0))
     for step in range(1, iters + 1):
         senders = ranks.where("out_degree > 0").select(
             F.col("id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("message")
         )
-        messages = _along(links, senders, hot).select(
-            F.col("dst").alias("id"), F.lit(None).cast("long").alias("out_degree"), "message"
-        )
-        ranks = messages.unionByName(zero).groupBy("id").agg(
-            F.max("out_degree").alias("out_degree"),
-            (reset + (1 - reset) * F.sum("message")).alias("rank"),
-        )
+        sums = _along(links, senders, hot).groupBy(F.col("dst").alias("id")).agg(F.sum("message").alias("sum"))
+        rank = reset + (1 - reset) * F.coalesce("sum", F.lit(0.0))
+        ranks = vertices.join(sums, "id", "left").select("id", "out_degree", rank.alias("rank"))
         if step % cut_every == 0 or step == iters:
             ranks = cut(ranks, "ranks")
     links.unpersist()
+    vertices.unpersist()
     return ranks.select("id", "rank")
 
 
