@@ -81,18 +81,25 @@ def triangle_total(edges: DataFrame) -> DataFrame:
 
 
 def _links(edges: DataFrame, hot: DataFrame) -> DataFrame:
-    """Edges placed and sorted by source, those of a hot source in several places."""
+    """Edges placed by source, those of a hot source in several places.
+
+    Inside a place they are in order of target: every iteration sums by target, and runs of
+    one target keep that in the processor cache.
+    """
     links, key = edges.select("src", "dst"), ["src"]
     if not hot.isEmpty():
         links, key = with_salt(links, "src", hot, ["dst"], "slice"), ["src", "slice"]
-    return links.repartition(shuffle_parts(edges.sparkSession), *key).sortWithinPartitions(*key)
+    return links.repartition(shuffle_parts(edges.sparkSession), *key).sortWithinPartitions("dst")
 
 
 def _along(links: DataFrame, senders: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each link with the columns of its source; the links stay where they are."""
+    """Each link with the columns of its source; the links stay where they are and keep their order.
+
+    The hash table of a partition holds its vertices once each, an even share of them all.
+    """
     if "slice" in links.columns:
-        return links.join(per_salt(senders, "src", hot, "slice"), ["src", "slice"])
-    return links.join(senders, "src")
+        return links.join(per_salt(senders, "src", hot, "slice").hint("shuffle_hash"), ["src", "slice"])
+    return links.join(senders.hint("shuffle_hash"), "src")
 
 
 def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
@@ -101,28 +108,31 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     Ranks start at 1 and become reset + (1 - reset) * sum(rank / out-degree) over in-edges;
     ranks are not normalized and the rank of vertices without out-edges is not spread.
 
-    Links are placed and sorted once by source, hot sources in slices, and vertices by id; both
-    stay cached. An iteration shuffles only ranks and messages, the latter summed per target
-    before the shuffle. `edges` is read three times, so pass a stored table, not a costly query.
+    Links are placed once by source, hot sources in slices, and out-degrees by vertex; both stay
+    cached. An iteration shuffles only ranks and messages, the latter summed per target before
+    the shuffle. Vertices without out-edges send nothing and join in the last iteration only.
+    `edges` is read twice, so pass a stored table, not a costly query.
     """
+    if iters < 1:
+        raise ValueError("pagerank needs at least one iteration")
     parts = shuffle_parts(edges.sparkSession)
-    degree = cut(degrees(edges).select("id", "out_degree"), "out-degrees")
-    hot = hot_keys(degree.where("out_degree > 0"), "id", "out_degree", "src")
+    degree = cut(edges.groupBy("src").agg(F.count("*").alias("out_degree")), "out-degrees")
+    hot = hot_keys(degree, "src", "out_degree")
     links = _links(edges, hot).persist()
-    vertices = degree.repartition(parts, "id").sortWithinPartitions("id").persist()
-    ranks = vertices.withColumn("rank", F.lit(1.0))
+    sources = degree.repartition(parts, "src").persist()
+    ranks = sources.withColumn("rank", F.lit(1.0))
     for step in range(1, iters + 1):
-        senders = ranks.where("out_degree > 0").select(
-            F.col("id").alias("src"), (F.col("rank") / F.col("out_degree")).alias("message")
-        )
-        sums = _along(links, senders, hot).groupBy(F.col("dst").alias("id")).agg(F.sum("message").alias("sum"))
+        senders = ranks.select("src", (F.col("rank") / F.col("out_degree")).alias("message"))
+        sums = _along(links, senders, hot).groupBy(F.col("dst").alias("src")).agg(F.sum("message").alias("sum"))
         rank = reset + (1 - reset) * F.coalesce("sum", F.lit(0.0))
-        ranks = vertices.join(sums, "id", "left").select("id", "out_degree", rank.alias("rank"))
+        ranks = sources.join(sums, "src", "left" if step < iters else "full").select(
+            "src", "out_degree", rank.alias("rank")
+        )
         if step % cut_every == 0 or step == iters:
             ranks = cut(ranks, "ranks")
     links.unpersist()
-    vertices.unpersist()
-    return ranks.select("id", "rank")
+    sources.unpersist()
+    return ranks.select(F.col("src").alias("id"), "rank")
 
 
 def lognormal_edges(vertices: DataFrame, n: int, mu: float = 4.0, sigma: float = 1.3, seed: int = 42) -> DataFrame:

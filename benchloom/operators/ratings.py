@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from benchloom.functions.columns import uniform
 from benchloom.operators.skew import hot_keys, lookup_join, per_salt, shuffle_parts, with_salt
@@ -38,18 +38,15 @@ def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
     Rows are numbered inside their partition, and partitions are offset by the rows before
     them; no sort and no single task over all ids.
     """
-    spark = ratings.sparkSession
     position = F.monotonically_increasing_id()  # partition number in the upper 31 bits
     placed = cut(
         ratings.groupBy(key).agg(F.count("*").alias("n")).withColumn("place", position), f"{key}-ids"
     )
     part = F.shiftright("place", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size")).orderBy("part").collect()
-    offsets, before = [], 0
-    for row in sizes:  # one row per partition
-        offsets.append((row["part"], before))
-        before += row["size"]
-    known = spark.createDataFrame(offsets, "part long, before long")
+    # One row per partition.
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    known = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
     number = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
     return cut(
         placed.withColumn("part", part).join(F.broadcast(known), "part")

@@ -27,7 +27,8 @@ METRICS = [
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "action string, benchmark string, result_key string")
+    rows = ", ".join(str(row) for row in CATALOG)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS catalog(action, benchmark, result_key)")
 
 
 def records_for(report: DataFrame, key: str, exact: bool = False) -> DataFrame:

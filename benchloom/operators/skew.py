@@ -36,7 +36,7 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n", name: str | None = None)
     hot = counts.where(F.col(n) * parts > total).select(
         F.col(key).alias(name or key), F.ceil(F.col(n) * parts / total).cast("int").alias("splits")
     )
-    return spark.createDataFrame(hot.collect(), hot.schema)
+    return spark.createDataFrame(hot.toArrow())
 
 
 def with_salt(rows: DataFrame, key: str, hot: DataFrame, spread: list[str], name: str) -> DataFrame:

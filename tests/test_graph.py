@@ -105,13 +105,13 @@ def test_sliced_join_equals_plain_join(spark, no_auto_broadcast):
 
 
 @pytest.mark.parametrize("hot_rows", [[], [(0, 4)]])
-def test_cached_links_are_not_shuffled_or_sorted_again(spark, no_auto_broadcast, hot_rows):
+def test_cached_links_are_neither_shuffled_nor_sorted(spark, no_auto_broadcast, hot_rows):
     hot = spark.createDataFrame(hot_rows, "src long, splits int")
     links = graph._links(edges_of(spark, hub_graph()), hot).persist()
     assert links.count() == len(hub_graph())
     senders = spark.range(60).selectExpr("id AS src", "rand(1) AS message")
     plan = plan_of(graph._along(links, senders, hot)).split("== Physical Plan ==")[1]
-    join, cached = plan.index("SortMergeJoin"), plan.index("InMemoryTableScan")
+    join, cached = plan.index("ShuffledHashJoin"), plan.index("InMemoryTableScan")
     assert "Exchange" not in plan[join:cached] and "Sort [" not in plan[join:cached]
     links.unpersist()
 
