@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, RegexTokenizer
@@ -17,10 +17,14 @@ def split_by_id(df: DataFrame, key: str, test_share: float = 0.25) -> tuple[Data
     return df.where(~is_test), df.where(is_test)
 
 
-def _text_pipeline(estimator, text: str, n_features: int) -> Pipeline:
+def _fit_text(estimator, df: DataFrame, text: str, n_features: int) -> PipelineModel:
+    """Fit on hashed words; the texts are split once, and the passes of the fit read the vectors."""
     words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+")
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=n_features)
-    return Pipeline(stages=[words, hashed, estimator])
+    vectors = hashed.transform(words.transform(df)).select(estimator.getLabelCol(), "features").persist()
+    model = estimator.fit(vectors)
+    vectors.unpersist()
+    return PipelineModel([words, hashed, model])
 
 
 def fit_logistic(
@@ -29,7 +33,7 @@ def fit_logistic(
 ) -> PipelineModel:
     """Logistic regression on hashed word counts."""
     model = LogisticRegression(labelCol=label, maxIter=iters, regParam=reg)
-    return _text_pipeline(model, text, n_features).fit(df)
+    return _fit_text(model, df, text, n_features)
 
 
 def fit_svm(
@@ -38,7 +42,7 @@ def fit_svm(
 ) -> PipelineModel:
     """Linear support vector machine on hashed word counts."""
     model = LinearSVC(labelCol=label, maxIter=iters, regParam=reg)
-    return _text_pipeline(model, text, n_features).fit(df)
+    return _fit_text(model, df, text, n_features)
 
 
 def score(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:

@@ -140,6 +140,7 @@ def rank_runs(metrics: DataFrame, run: str, by: tuple[str, ...] = ("workload", "
     A window over the whole group would put a hot workload into one task. Instead the rows
     are range-partitioned by group, score and run, which cuts a large group into slices;
     rows are ranked inside their slice and the slices are then offset by what precedes them.
+    `metrics` is read twice, so pass a stored table, not a costly query.
     """
     by = list(by)
     slice_key = ["slice", *by]
