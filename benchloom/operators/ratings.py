@@ -58,8 +58,9 @@ def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
 class Als:
     """Fitted ALS model, with the numbering of ids that do not fit its integers."""
 
-    def __init__(self, model: ALSModel, users: DataFrame | None = None, items: DataFrame | None = None):
-        self.model, self.users, self.items = model, users, items
+    def __init__(self, users: DataFrame | None = None, items: DataFrame | None = None):
+        self.model: ALSModel | None = None
+        self.users, self.items = users, items
 
     def numbered(self, pairs: DataFrame) -> DataFrame:
         if self.users is None:
@@ -78,13 +79,13 @@ def fit_als(ratings: DataFrame, rank: int = 10, iters: int = 10, reg: float = 0.
     spans = [f(c) for c in ("user", "item") for f in (F.min, F.max)]
     low_user, high_user, low_item, high_item = ratings.agg(*spans).first()
     fits = min(low_user, low_item) >= 0 and max(high_user, high_item) <= MAX_ALS_ID
-    frame = Als(None) if fits else Als(None, _dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
+    fitted = Als() if fits else Als(_dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
     als = ALS(
         userCol="user_number", itemCol="item_number", ratingCol="rating", rank=rank, maxIter=iters,
         regParam=reg, seed=seed, coldStartStrategy="drop",
     )
-    frame.model = als.fit(frame.numbered(ratings).withColumn("rating", F.col("rating").cast("float")))
-    return frame
+    fitted.model = als.fit(fitted.numbered(ratings).withColumn("rating", F.col("rating").cast("float")))
+    return fitted
 
 
 def rmse(scored: DataFrame, prediction: str = "prediction") -> DataFrame:
@@ -152,8 +153,9 @@ def svdpp(
 
     p, q, y, z, pz = (_columns(c, rank) for c in ("p", "q", "y", "z", "pz"))
     user_state = users.select("user", "n", (F.col("mean") - mean).alias("b_u"), *draws("user", "p"))
-    item_state = items.select(
-        "item", "n", (F.col("mean") - mean).alias("b_i"), *draws("item", "q"), *draws("item", "y")
+    item_state = cut(
+        items.select("item", "n", (F.col("mean") - mean).alias("b_i"), *draws("item", "q"), *draws("item", "y")),
+        "svdpp-items",
     )
 
     def with_implicit(user_state: DataFrame, item_state: DataFrame) -> DataFrame:
