@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from benchloom.functions.columns import uniform
-from benchloom.operators.skew import hot_keys, lookup_join, per_salt, shuffle_parts, sliced_join, with_salt
+from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, sliced_join, with_salt
 from benchloom.storage import cut
 
 # Random edges that are drawn from one array at a time.
@@ -80,7 +80,7 @@ def triangle_total(edges: DataFrame) -> DataFrame:
     return triangles(edges).agg(total.cast("long").alias("triangles"))
 
 
-def _links(edges: DataFrame, hot: DataFrame) -> DataFrame:
+def _links(edges: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     """Edges placed by source, those of a hot source in several places.
 
     Inside a place they are in order of target: every iteration sums by target, and runs of
@@ -89,7 +89,7 @@ def _links(edges: DataFrame, hot: DataFrame) -> DataFrame:
     links, key = edges.select("src", "dst"), ["src"]
     if not hot.isEmpty():
         links, key = with_salt(links, "src", hot, ["dst"], "slice"), ["src", "slice"]
-    return links.repartition(shuffle_parts(edges.sparkSession), *key).sortWithinPartitions("dst")
+    return links.repartition(parts, *key).sortWithinPartitions("dst")
 
 
 def _along(links: DataFrame, senders: DataFrame, hot: DataFrame) -> DataFrame:
@@ -115,10 +115,10 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     """
     if iters < 1:
         raise ValueError("pagerank needs at least one iteration")
-    parts = shuffle_parts(edges.sparkSession)
     degree = cut(edges.groupBy("src").agg(F.count("*").alias("out_degree")), "out-degrees")
+    parts = cache_parts(edges.sparkSession, degree.agg(F.sum("out_degree")).first()[0] or 0)
     hot = hot_keys(degree, "src", "out_degree")
-    links = _links(edges, hot).persist()
+    links = _links(edges, hot, parts).persist()
     sources = degree.repartition(parts, "src").persist()
     ranks = sources.withColumn("rank", F.lit(1.0))
     for step in range(1, iters + 1):

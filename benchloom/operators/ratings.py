@@ -6,7 +6,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from benchloom.functions.columns import uniform
-from benchloom.operators.skew import hot_keys, lookup_join, per_salt, shuffle_parts, with_salt
+from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, with_salt
 from benchloom.storage import cut, work_dir
 
 
@@ -134,13 +134,13 @@ def svdpp(
     before each shuffle. Ratings stay cached, partitioned by item; an iteration shuffles them
     once, by user, and cuts the user and item state, which is small beside them.
     """
-    spark = ratings.sparkSession
-    parts = shuffle_parts(spark)
     users, items = (
         cut(_mean_by(ratings, key).withColumnRenamed(f"{key}_mean", "mean"), f"{key}-means")
         for key in ("user", "item")
     )
-    mean = users.agg(F.sum(F.col("mean") * F.col("n")) / F.sum("n")).first()[0] or 0.0
+    total, n_ratings = users.agg(F.sum(F.col("mean") * F.col("n")), F.sum("n")).first()
+    mean = total / n_ratings if n_ratings else 0.0
+    parts = cache_parts(ratings.sparkSession, n_ratings or 0)
     hot_users, hot_items = hot_keys(users, "user"), hot_keys(items, "item")
     rows = with_salt(ratings.select("user", "item", "rating"), "user", hot_users, ["item"], "user_slice")
     rows = (

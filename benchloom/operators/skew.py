@@ -7,17 +7,27 @@ shuffles only; a lookup that is itself an aggregate would keep a hot key in one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Most rows of a lookup table that are sent to every executor. Lookups have a few dozen
 # numeric columns at most, so this is tens of megabytes.
 BROADCAST_ROWS = 200_000
 
+# Rows that make a task worth starting.
+ROWS_PER_TASK = 100_000
+
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cache_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for rows that a loop reads again and again: the session's number, fewer for few rows."""
+    return max(1, min(shuffle_parts(spark), math.ceil(rows / ROWS_PER_TASK)))
+
+
 def is_small(table: DataFrame) -> bool:
     """Whether a stored table may be broadcast, from its row count, which its files hold."""
     return table.count() <= BROADCAST_ROWS

@@ -76,7 +76,8 @@ def test_rank_of_a_two_cycle_stays_one(spark):
 
 
 @pytest.mark.parametrize("cut_every", [1, 5])
-def test_pagerank_with_a_hub_equals_brute_force(spark, no_auto_broadcast, cut_every):
+def test_pagerank_with_a_hub_equals_brute_force(spark, no_auto_broadcast, monkeypatch, cut_every):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 50)
     pairs = hub_graph() + [(5, 1000), (5, 1000)]  # an end without out-edges, and a repeated edge
     edges = edges_of(spark, pairs)
     want = brute_pagerank(pairs, 4)
@@ -107,7 +108,7 @@ def test_sliced_join_equals_plain_join(spark, no_auto_broadcast):
 @pytest.mark.parametrize("hot_rows", [[], [(0, 4)]])
 def test_cached_links_are_neither_shuffled_nor_sorted(spark, no_auto_broadcast, hot_rows):
     hot = spark.createDataFrame(hot_rows, "src long, splits int")
-    links = graph._links(edges_of(spark, hub_graph()), hot).persist()
+    links = graph._links(edges_of(spark, hub_graph()), hot, 3).persist()
     assert links.count() == len(hub_graph())
     senders = spark.range(60).selectExpr("id AS src", "rand(1) AS message")
     plan = plan_of(graph._along(links, senders, hot)).split("== Physical Plan ==")[1]
