@@ -4,12 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, mixing
+from benchloom.llm import decontaminate, mixing, topk, warc
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
 
 registry = Registry()
 
+TOP_K_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+WARC_SQL = r"""
+WITH p AS (
+    SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+           lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host,
+           regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(\?[^#]+)', 1) AS query
+    FROM pages
+), keyed AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+           array_to_string(list_reverse(string_split(regexp_replace(host, '^www\.', ''), '.')), ',') || ')'
+           || lower(CASE WHEN path = '' THEN '/' ELSE path END || query) AS url_key
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+       url_key, row_number() OVER (ORDER BY url_key, page_id) AS history_seq,
+       row_number() OVER (PARTITION BY url_key ORDER BY page_id) AS capture_no
+FROM keyed
+"""
+
 DECONTAMINATION_SQL = r"""
 WITH lowered AS (
     SELECT doc_id, regexp_extract_all(
@@ -44,6 +78,19 @@ FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@registry.query(TOP_K_SQL)
+def op4_topk_search(spark: SparkSession, d: str) -> DataFrame:
+    vectors = load(spark, d, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+@registry.query(WARC_SQL)
+def op5_warc_history(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archive_history(load(spark, d, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_seq", "capture_no",
+    )
+
+
 @registry.query(DECONTAMINATION_SQL)
 def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     found = decontaminate.scan(load(spark, d, "documents").select("doc_id", "text"), load(spark, d, "benchmark"))
