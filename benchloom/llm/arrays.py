@@ -53,12 +53,12 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return flat, ends - ends[0]
 
 
-def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column, each of about `size` bytes of text or one long row."""
+def pieces(column: pa.Array, size: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column, each of about `size` bytes of text or one long row, and of at most `rows` rows."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for row, length in enumerate(lengths):
-        if held and held + length > size:
+        if row - first >= rows or (held and held + length > size):
             yield first, row
             first, held = row, 0
         held += int(length)

@@ -29,3 +29,12 @@ def text_total(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text).cast("long")).alias("b")).first()
     return row["n"], row["b"] or 0
+
+
+def sample(rows: DataFrame, most: int, seed: str, *by: str) -> DataFrame:
+    """About `most` rows, or all if there are no more; the same rows each time, chosen by a hash of `by`."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    draw = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 30))
+    return rows.where(draw < int(most / total * (1 << 30)))

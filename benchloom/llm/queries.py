@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, mixing, topk, warc
+from benchloom.llm import decontaminate, language, mixing, topk, toxicity, warc
+from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
 
@@ -12,9 +13,9 @@ registry = Registry()
 
 TOP_K_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
@@ -78,6 +79,14 @@ FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@registry.query()
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs.where(~held_out()), load(spark, d, "labels").select("doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @registry.query(TOP_K_SQL)
 def op4_topk_search(spark: SparkSession, d: str) -> DataFrame:
     vectors = load(spark, d, "embeddings").select("vec_id", "embedding")
@@ -101,6 +110,14 @@ def op6_decontamination(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@registry.query()
+def op7_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model, reject=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @registry.query()
 def op9_entropy_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
