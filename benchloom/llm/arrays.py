@@ -19,6 +19,7 @@ PIECE_BYTES = 2 << 20
 
 WORD_STEP = U64(0x9E3779B97F4A7C15)
 WINDOW_STEP = U64(0xD6E8FEB86659FD93)
+SECOND_STEP = U64(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -113,14 +114,14 @@ class Words:
     def joined(self, i: int, n: int) -> bytes:
         return b" ".join(self.word(k) for k in range(i, i + n))
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, n: int, step: np.uint64 = WINDOW_STEP) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every window of n words that lies in one text."""
         m = len(self.hashes)
         if m < n:
             return np.zeros(0, np.int64), np.zeros(0, U64)
         rolled = np.zeros(m - n + 1, dtype=U64)
         for k in range(n):
-            rolled *= WINDOW_STEP
+            rolled *= step
             rolled += self.hashes[k:m - n + 1 + k]
         last = np.repeat(self.first[1:], self.counts())[:m - n + 1]
         at = np.flatnonzero(np.arange(m - n + 1) + n <= last)

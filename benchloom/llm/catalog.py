@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from benchloom.llm import queries
-from benchloom.plans.registry import Registry
+from benchloom.llm.workers import importable
+from benchloom.plans.registry import Query, Registry
+
+
+def _shipped(run: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return run(spark, sf_dir)
+
+    return query
+
 
-LLM = Registry().merge(queries.registry)
+LLM = Registry()
+LLM.queries = {name: _shipped(run) for name, run in queries.registry.queries.items()}
+LLM.oracles = dict(queries.registry.oracles)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, mixing, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, mixing, repeats, topk, toxicity, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -121,3 +121,26 @@ def op7_language(spark: SparkSession, d: str) -> DataFrame:
 @registry.query()
 def op9_entropy_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+REPEATS_SQL = r"""
+WITH split AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM split, unnest(range(1, len(w) - 18)) AS r(i)
+), later AS (
+    SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1
+), gone AS (
+    SELECT DISTINCT doc_id, k FROM later, unnest(range(i, i + 20)) AS r(k)
+), counted AS (
+    SELECT doc_id, count(*) AS n, list(k) AS ks FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN counted USING (doc_id)
+"""
+
+
+@registry.query(REPEATS_SQL)
+def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repeats(load(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -29,7 +29,7 @@ LEAST_SHARE = 0.005
 MOST_FEATURES = 20_000
 # A feature is used if it is so many times as frequent among positives as among unlabelled texts,
 # and by so many standard errors.
-LEAST_LIFT, LEAST_ERRORS = 2.0, 4.0
+LEAST_LIFT, LEAST_ERRORS = 2.0, 3.0
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
 _TASKS = 4
@@ -87,30 +87,31 @@ class ToxicityModel:
 
 def nn_pu_fit(
     positives: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], width: int, prior: float,
-    epochs: int = 300, rate: float = 0.05, decay: float = 1e-5, slack: float = 0.0,
+    epochs: int = 300, rate: float = 0.05, sparsity: float = 1e-4, bias: float = -1.0,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the non-negative risk, with the logistic loss.
+    """Weights and bias by Adam on the non-negative risk.
 
-    Both sets come as (row numbers, feature numbers, rows). `decay` is the squared penalty.
+    The loss is the sigmoid of the wrong margin: it is bounded, so a toxic text among the unlabelled
+    costs no more than the prior takes off again. Both sets come as (row numbers, feature
+    numbers, rows). `sparsity` is the penalty on absolute weights.
     """
-    weights, bias = np.zeros(width), 0.0
+    weights = np.zeros(width)
     first, second = np.zeros(width + 1), np.zeros(width + 1)
 
-    def margins(data):
-        return bias + np.bincount(data[0], weights[data[1]], minlength=data[2])
+    def toxic(data):
+        margin = bias + np.bincount(data[0], weights[data[1]], minlength=data[2])
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
     def slope(data, per_row):
         return np.concatenate((np.bincount(data[1], per_row[data[0]], minlength=width), [per_row.sum()])) / max(data[2], 1)
 
     for step in range(1, epochs + 1):
-        p, u = (1 / (1 + np.exp(-np.clip(margins(d), -500, 500))) for d in (positives, unlabelled))
-        negative_risk = -np.log(np.maximum(1 - u, 1e-12)).mean() + prior * np.log(np.maximum(1 - p, 1e-12)).mean()
-        negative = slope(unlabelled, u) - prior * slope(positives, p)
-        if negative_risk < -slack:
-            gradient = -negative
-        else:
-            gradient = prior * slope(positives, p - 1) + negative
-        gradient[:-1] += decay * weights
+        p, u = toxic(positives), toxic(unlabelled)
+        negative_risk = u.mean() - prior * p.mean()
+        missed = prior * slope(positives, p * (1 - p))
+        negative = slope(unlabelled, u * (1 - u)) - missed
+        gradient = -negative if negative_risk < 0 else negative - missed
+        gradient[:-1] += sparsity * np.sign(weights)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
