@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, mixing, repeats, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, mixing, near, repeats, topk, toxicity, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -118,6 +118,11 @@ def op7_language(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@registry.query()
+def op8_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_duplicates(load(spark, d, "documents"))
+
+
 @registry.query()
 def op9_entropy_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")

@@ -129,12 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     known = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("of")).agg(F.max(toxic).alias("y"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    labelled = texts.join(known, F.col("id") == F.col("of")).select("id", "text", "y")
+    # Ids meet labels first; only the bounded sample of ids then goes to the texts, which stay in place.
+    labelled = cut(texts.select("id").join(known, F.col("id") == F.col("of")).groupBy("id").agg(F.max("y").alias("y")), "toxicity-labels")
     counts = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p")).first()
     if not counts["p"]:
         return None
     prior = min(max(counts["p"] / counts["n"], 1e-4), 0.9)
-    positives = sample(labelled.where("y = 1").select("id", "text"), POSITIVES, "positives", "id", "text")
+    named = sample(labelled.where("y = 1").select("id"), POSITIVES, "positives", "id")
+    positives = sample(texts.join(F.broadcast(named), "id"), 2 * POSITIVES, "rows", "id", "text")
     others = sample(texts, UNLABELLED, "unlabelled", "id", "text")
     chosen = cut(positives.withColumn("p", F.lit(True)).union(others.withColumn("p", F.lit(False))), "toxicity-sample")
 
