@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, mixing, near, repeats, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, mixing, near, repeats, suffixes, topk, toxicity, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -87,6 +87,11 @@ def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+@registry.query()
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.suffix_dedup(load(spark, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @registry.query(TOP_K_SQL)
 def op4_topk_search(spark: SparkSession, d: str) -> DataFrame:
     vectors = load(spark, d, "embeddings").select("vec_id", "embedding")

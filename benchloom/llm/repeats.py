@@ -8,6 +8,7 @@ sequence stays and the words of later ones go.
 Documents are dealt to homes by their id. A home ships one entry per distinct hash of its
 windows, so a passage in a third of all documents is one entry per home; the answers
 come back as bits in the order the home shipped in, so no position travels at the weak levels.
+All levels read the texts from one shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from benchloom.llm.arrays import SECOND_STEP, SPACED, U64, WINDOW_STEP, Words, words
 from benchloom.llm.frames import parts_for, text_total
-from benchloom.storage import cut
 
 HOME_BYTES = 8 << 20
 # Distinct windows of all homes in one bucket of hashes.
@@ -191,7 +191,7 @@ def repeats(
         shipped = dealt.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(ship(level), _SHIPPED) if level else \
             dealt.groupBy("home").applyInArrow(_alone(ship(0)), _SHIPPED)
         answers = shipped.groupBy("bucket").applyInArrow(judge(level), _BITS)
-        known = known.union(answers if level == last else cut(answers, "repeat-bits"))
+        known = known.union(answers)
 
     def finish(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         home = _Home(table)
