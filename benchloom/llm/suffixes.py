@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from benchloom.llm.arrays import BYTE_HASH, U64, mix, powers, text_bytes
+from benchloom.llm.arrays import BYTE_HASH, U64, mix, pieces, powers, text_bytes
 from benchloom.llm.frames import fresh, parts_for
 
 LENGTH = 400
@@ -36,6 +36,7 @@ BUCKET_ENTRIES = 1_500_000
 _STEP = U64(0x9E3779B97F4A7C15)
 _BACK = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MOST = U64(0xFFFFFFFFFFFFFFFF)
+_PIECE = 128 << 10
 _BITS = "home long, level int, bucket long, bits binary"
 _SHIPPED = "bucket long, home long, entries binary"
 
@@ -52,93 +53,122 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc, fill: np.uint64) ->
     return out
 
 
-class _Home:
-    def __init__(self, table: pa.Table, length: int) -> None:
-        order = pc.sort_indices(table, [("key", "ascending")])
-        table = table.take(order)
-        self.keys, self.copies, self.length = table["key"], table["n"].to_numpy(), length
-        self.flat, self.bounds = text_bytes(table["text"])
-        n = len(self.flat)
-        self.end = np.repeat(self.bounds[1:], np.diff(self.bounds))
-        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_HASH[self.flat] * powers(_STEP, n)[:n]))) if n else np.zeros(1, U64)
+class _Piece:
+    """Some texts of a home, few enough that their arrays stay in the processor's cache."""
 
-    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
-        return mix((self.sums[at + width] - self.sums[at]) * powers(_BACK, len(self.flat))[at])
-
-    def anchors(self) -> None:
-        """Distinct anchors with counts, and the smallest hash of each run of WINDOW k-grams."""
+    def __init__(self, texts: pa.Array, copies: np.ndarray, length: int) -> None:
+        self.length = length
+        self.flat, self.bounds = text_bytes(texts)
         n = len(self.flat)
+        self.end = np.repeat(self.bounds[1:], np.diff(self.bounds))
+        self.back = powers(_BACK, n)
+        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_HASH[self.flat] * powers(_STEP, n)[:n])))
         place = np.arange(n)
         grams = np.full(n, _MOST, U64)
-        inside = np.flatnonzero(place + GRAM <= self.end)
-        grams[inside] = self.hashes(inside, GRAM)
+        inside = place + GRAM <= self.end
+        last = max(n - GRAM + 1, 0)
+        grams[:last] = mix((self.sums[GRAM:GRAM + last] - self.sums[:last]) * self.back[:last])
+        grams[~inside] = _MOST
+        # The smallest hash of each run of WINDOW k-grams, and the k-grams that are it in some run.
         self.least = _sliding(grams, WINDOW, np.minimum, _MOST)
         self.whole = place + GRAM + WINDOW - 1 <= self.end
-        floor = np.where(self.whole, self.least, U64(0))
-        top = _sliding(floor[::-1], WINDOW, np.maximum, U64(0))[::-1]
-        chosen = np.flatnonzero((top == grams) & (place + GRAM <= self.end))
-        self.values, n_each = np.unique(grams[chosen], return_counts=True)
-        several = np.repeat(self.copies > 1, np.diff(self.bounds))
-        self.often = n_each > 1
-        self.often |= np.isin(self.values, grams[chosen[several[chosen]]])
-
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
+        top = _sliding(np.where(self.whole, self.least, U64(0))[::-1], WINDOW, np.maximum, U64(0))[::-1]
+        chosen = np.flatnonzero((top == grams) & inside)
+        self.anchors = grams[chosen]
+        self.copied = np.repeat(copies > 1, np.diff(self.bounds))[chosen]
+
+    def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        return mix((self.sums[at + width] - self.sums[at]) * self.back[at])
+
+    def candidates(self, values: np.ndarray, repeated: np.ndarray) -> np.ndarray:
         """Starts of strings all of whose anchors repeat."""
         n = len(self.flat)
-        runs = np.flatnonzero(np.concatenate(([True], self.least[1:] != self.least[:-1]))) if n else np.zeros(0, int)
-        where = np.minimum(np.searchsorted(self.values, self.least[runs]), max(len(self.values) - 1, 0))
-        good = repeated[where] & (self.values[where] == self.least[runs]) if len(self.values) else np.zeros(len(runs), bool)
+        runs = np.flatnonzero(np.concatenate(([True], self.least[1:] != self.least[:-1])))
+        where = np.minimum(np.searchsorted(values, self.least[runs]), max(len(values) - 1, 0))
+        good = repeated[where] & (values[where] == self.least[runs]) if len(values) else np.zeros(len(runs), bool)
         bad = np.repeat(~good, np.diff(np.concatenate((runs, [n])))) & self.whole
-        total = np.concatenate(([0], np.cumsum(bad)))
-        start = np.arange(n)
-        fits = np.flatnonzero(start + self.length <= self.end)
+        total = np.concatenate(([0], np.cumsum(bad, dtype=np.int32)))
+        fits = np.flatnonzero(np.arange(n) + self.length <= self.end)
         return fits[total[fits + self.length - GRAM - WINDOW + 2] == total[fits]]
 
-    def repeated_intervals(self, at: np.ndarray) -> np.ndarray:
-        """Which of the strings that start at `at` occur twice in this home, from the merged transforms."""
-        n = len(self.flat)
-        covered = np.zeros(n + 1, np.int64)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + self.length, -1)
-        inside = np.cumsum(covered[:-1]) > 0
-        edge = inside.copy()
-        edge[1:] &= ~inside[:-1] | (self.end[1:] != self.end[:-1])
-        first = np.flatnonzero(edge)
-        position = np.flatnonzero(inside)
-        segment = np.cumsum(edge)[position] - 1
-        begin = first[segment]
-        last = np.concatenate((np.flatnonzero(inside & np.concatenate((edge[1:] | ~inside[1:], [True]))) + 1, [])).astype(np.int64)
-        begin_of, end_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        begin_of[position], end_of[position] = begin, last[segment]
-        symbols = np.zeros(n, np.uint16)
-        symbols[:-1] = self.flat[:-1].astype(np.uint16) << 8 | self.flat[1:]
-        # The interleave, at first in shard order, and the block of each suffix in it.
-        rows, block, depth = position[position + 2 <= end_of[position]] + 2, None, 0
-        while depth < self.length:
-            ahead = rows - 2
-            alive = (ahead >= begin_of[np.minimum(ahead, n - 1)]) & (ahead >= 0)
-            if block is not None:
-                # A suffix that left its shard's front has no byte before it.
-                alive &= begin_of[rows] == begin_of[np.maximum(ahead, 0)]
-            rows, block = ahead[alive], block[alive] if block is not None else None
-            before = symbols[rows]
-            order = np.argsort(before, kind="stable")
-            rows, before = rows[order], before[order]
-            new = np.concatenate(([True], before[1:] != before[:-1])) if len(rows) else np.zeros(0, bool)
-            if block is not None and len(rows):
-                block = block[order]
-                new[1:] |= block[1:] != block[:-1]
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.concatenate((starts, [len(rows)])))
-            several = np.repeat(sizes > 1, sizes)
-            block = np.repeat(np.arange(len(starts)), sizes)[several]
-            rows = rows[several]
-            depth += 2
-            if not len(rows):
-                break
-        found = np.zeros(n + 1, bool)
-        found[rows] = True
-        return found[at]
+
+class _Home:
+    """Texts of one home in order of their keys, with their anchors."""
+
+    def __init__(self, table: pa.Table, length: int) -> None:
+        table = table.take(pc.sort_indices(table, [("key", "ascending")]))
+        self.keys, self.copies, self.length = table["key"], table["n"].to_numpy(), length
+        texts = table["text"].combine_chunks()
+        self.ranges = list(pieces(texts, _PIECE))
+        self.pieces = [_Piece(texts.slice(a, b - a), self.copies[a:b], length) for a, b in self.ranges]
+        anchors = np.concatenate([p.anchors for p in self.pieces])
+        self.values, n_each = np.unique(anchors, return_counts=True)
+        self.often = (n_each > 1) | np.isin(self.values, anchors[np.concatenate([p.copied for p in self.pieces])])
+
+    def left(self, repeated: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """What the sieve leaves: starts per piece, and the distinct hashes of their strings with the place of each."""
+        starts = [p.candidates(self.values, repeated) for p in self.pieces]
+        hashes = np.concatenate([p.hashes(at, self.length) for p, at in zip(self.pieces, starts, strict=True)])
+        return starts, *np.unique(hashes, return_inverse=True)
+
+
+def _stretches(home: _Home, starts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes that candidate strings cover, stretch after stretch; the ends of the stretches; each start's place."""
+    flats, ends, places, have = [], [], [], 0
+    for piece, at in zip(home.pieces, starts, strict=True):
+        if len(at):
+            # A new stretch begins where the last start's string has ended, or in another text.
+            first = np.flatnonzero(np.concatenate(([True], (at[1:] > at[:-1] + home.length) | (piece.end[at[1:]] != piece.end[at[:-1]]))))
+            begin, end = at[first], at[np.concatenate((first[1:], [len(at)])) - 1] + home.length
+            sizes = end - begin
+            base = have + np.cumsum(sizes) - sizes
+            which = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(at)]))))
+            flats += [piece.flat[a:b] for a, b in zip(begin, end, strict=True)]
+            places.append(at - begin[which] + base[which])
+            ends.append(base + sizes)
+            have += int(sizes.sum())
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(flats) if flats else np.zeros(0, np.uint8)), (np.concatenate(ends) if ends else none), (np.concatenate(places) if places else none)
+
+
+def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Marks the starts of strings of `length` bytes that occur twice in the given stretches.
+
+    Every stretch is a shard. The interleave begins in shard order; a step goes from each suffix to the one two bytes
+    longer and sorts by those two bytes, stably, which keeps the order of what follows them.
+    """
+    n = len(flat)
+    found = np.zeros(n, bool)
+    if n < 2:
+        return found
+    sizes = np.diff(np.concatenate(([0], ends)))
+    begin_of = np.repeat(ends - sizes, sizes).astype(np.int32)
+    end_of = np.repeat(ends, sizes).astype(np.int32)
+    symbols = np.zeros(n, np.uint16)
+    symbols[:-1] = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+    place = np.arange(n, dtype=np.int32)
+    rows = place[place + 2 <= end_of]
+    block = np.zeros(len(rows), np.int32)
+    depth = 0
+    while True:
+        before = symbols[rows]
+        order = np.argsort(before, kind="stable")
+        rows, before, block = rows[order], before[order], block[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
+        # Alone: a new block starts here and right after.
+        several = ~(new & np.concatenate((new[1:], [True])))
+        block = np.cumsum(new, dtype=np.int32)[several]
+        rows = rows[several]
+        depth += 2
+        if depth >= length or not len(rows):
+            break
+        # Suffixes at the front of their shard have no bytes before them.
+        ahead = rows - 2
+        alive = ahead >= begin_of[rows]
+        rows, block = ahead[alive], block[alive]
+    found[rows] = True
+    return found
 
 
 def _runs(unique: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -191,7 +221,6 @@ def repeated_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     def ship_anchors(key: tuple, table: pa.Table) -> pa.Table:
         home = _Home(table, length)
-        home.anchors()
         return _entries(key, home.values, (home.values & U64(0xFFFFFFFF)).astype(np.uint32))
 
     def _entries(key: tuple, unique: np.ndarray, entries: np.ndarray) -> pa.Table:
@@ -201,31 +230,34 @@ def repeated_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
             "entries": pa.array([entries[a:b].tobytes() for _, a, b in runs], pa.binary()),
         })
 
-    def left(table: pa.Table, bits: pa.Table) -> tuple[_Home, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def left(table: pa.Table, bits: pa.Table) -> tuple[_Home, list[np.ndarray], np.ndarray, np.ndarray]:
         home = _Home(table, length)
-        home.anchors()
-        at = home.candidates(home.often | _flags(bits, 0, len(home.values)))
-        return home, at, *np.unique(home.hashes(at, length), return_inverse=True)
+        return home, *home.left(home.often | _flags(bits, 0, len(home.values)))
 
     def ship_strings(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         unique = left(table, bits)[2]
         return _entries(key, unique, unique)
 
     def finish(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
-        home, at, unique, inverse = left(table, bits)
-        gone = home.repeated_intervals(at) | _flags(bits, 1, len(unique))[inverse]
-        edge = np.zeros(len(home.flat) + 1, np.int64)
-        np.add.at(edge, at[gone], 1)
-        np.add.at(edge, at[gone] + length, -1)
-        removed = np.cumsum(edge[:-1]) > 0
-        spans, hashes, counts = [], [], []
-        for row, (a, b) in enumerate(zip(home.bounds[:-1], home.bounds[1:], strict=True)):
-            mine = removed[a:b] if home.copies[row] == 1 else np.ones(b - a, bool)
-            counts.append(int(mine.sum()))
-            spans.append(np.flatnonzero(np.diff(np.concatenate(([0], mine.astype(np.int8), [0])))).tolist() if counts[-1] else [])
-            hashes.append(hashlib.sha256(home.flat[a:b][~mine].tobytes()).hexdigest())
+        home, starts, unique, inverse = left(table, bits)
+        flat, ends, places = _stretches(home, starts)
+        gone = repeated_intervals(flat, ends, length)[places] | _flags(bits, 1, len(unique))[inverse]
+        spans, hashes, counts, sizes, used = [], [], [], [], 0
+        for piece, at, (first_row, _) in zip(home.pieces, starts, home.ranges, strict=True):
+            mine = at[gone[used:used + len(at)]]
+            used += len(at)
+            edge = np.zeros(len(piece.flat) + 1, np.int32)
+            edge[mine] += 1
+            edge[mine + length] -= 1
+            removed = np.cumsum(edge[:-1]) > 0
+            for row, (a, b) in enumerate(zip(piece.bounds[:-1], piece.bounds[1:], strict=True)):
+                out = removed[a:b] if home.copies[first_row + row] == 1 else np.ones(b - a, bool)
+                counts.append(int(out.sum()))
+                sizes.append(int(b - a))
+                spans.append(np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0])))).tolist() if counts[-1] else [])
+                hashes.append(hashlib.sha256(piece.flat[a:b][~out].tobytes() if counts[-1] else piece.flat[a:b].tobytes()).hexdigest())
         return pa.table({
-            "key": home.keys.cast(pa.string()), "n_bytes": pa.array(np.diff(home.bounds), pa.int64()), "n_removed": pa.array(counts, pa.int64()),
+            "key": home.keys.cast(pa.string()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()),
             "n_spans": pa.array([len(s) // 2 for s in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept_sha256": pa.array(hashes, pa.string()),
         })
 
