@@ -9,8 +9,8 @@
    suffixes: an interleave right to depth k becomes one right to depth k + 2. Blocks of suffixes with
    one prefix are kept along, so their common prefixes are known; suffixes alone in their
    block are settled and leave. What stays to depth `length` are the repeated intervals.
-3. Homes. A home ships one fingerprint of 64 bits per distinct string left, so a passage in a third of all documents
-   costs an entry per home, and bits come back again.
+3. Homes. A home ships one fingerprint of 64 bits per distinct string the sieve left, so a passage in a third of all
+   documents costs an entry per home. Bits come back again, and the merge has to decide on the rest.
 
 Equal texts are one text with a count, from the map side on.
 """
@@ -240,8 +240,11 @@ def repeated_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     def finish(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         home, starts, unique, inverse = left(table, bits)
-        flat, ends, places = _stretches(home, starts)
-        gone = repeated_intervals(flat, ends, length)[places] | _flags(bits, 1, len(unique))[inverse]
+        # Equal strings got equal answers, so what repeats in another home can leave before the merge.
+        gone = _flags(bits, 1, len(unique))[inverse]
+        bounds = np.cumsum([len(at) for at in starts])[:-1]
+        flat, ends, places = _stretches(home, [at[~known] for at, known in zip(starts, np.split(gone, bounds), strict=True)])
+        gone[~gone] = repeated_intervals(flat, ends, length)[places]
         spans, hashes, counts, sizes, used = [], [], [], [], 0
         for piece, at, (first_row, _) in zip(home.pieces, starts, home.ranges, strict=True):
             mine = at[gone[used:used + len(at)]]
