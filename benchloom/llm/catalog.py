@@ -20,3 +20,14 @@ def _shipped(run: Query) -> Query:
 LLM = Registry()
 LLM.queries = {name: _shipped(run) for name, run in queries.registry.queries.items()}
 LLM.oracles = dict(queries.registry.oracles)
+
+
+def _with_pipeline() -> None:
+    import corpus_pipeline
+
+    LLM.queries["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        LLM.oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_with_pipeline()

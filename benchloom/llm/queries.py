@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, mixing, near, repeats, suffixes, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, mixing, near, quality, repeats, suffixes, topk, toxicity, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -79,6 +79,17 @@ FROM lowered LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@registry.query()
+def op1_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    model = quality.fit(docs.where(~held_out()), load(spark, d, "labels").select("doc_id", "quality"))
+    scored = quality.score(docs.select("doc_id", "text", "source", "lang", "n_chars"), model)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "text_score", "page_score", "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @registry.query()
 def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "text")
