@@ -9,16 +9,19 @@ loser tree, so that ranges in order make the whole index in order.
 
 from __future__ import annotations
 
+import bisect
+import gzip
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from benchloom.llm.frames import parts_for
-from benchloom.storage import new_path
+from benchloom.storage import cut, new_path
 
 # Bytes of records in one archive file, which is read as one value, and captures in one range of the index.
 FILE_BYTES = 16 << 20
@@ -92,12 +95,15 @@ def record_text() -> Column:
     )
 
 
-def write_archives(found: DataFrame, path: str) -> str:
-    """Write the output of `records` as gzipped WARC files of bounded size below `path`."""
-    total = found.agg(F.sum(F.col("payload_bytes") + 600)).first()[0] or 0
-    files = parts_for(total, FILE_BYTES)
-    text = found.select(record_text().alias("value"), F.xxhash64("page_id", "url", "ts").alias("spread"))
-    text.repartition(files, F.pmod("spread", F.lit(files * 16))).select("value").write.option("lineSep", END * 2).option("compression", "gzip").text(path)
+def write_archives(found: DataFrame, path: str, record_bytes: float) -> str:
+    """Write the output of `records` as gzipped WARC files below `path`.
+
+    Pages stay in the tasks they are in; a task starts a new file after as many records as fill FILE_BYTES
+    at `record_bytes` each, so that a file can be read as one value.
+    """
+    records_each = max(1, int(FILE_BYTES / max(record_bytes, 1)))
+    text = found.select(record_text().alias("value"))
+    text.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_each).text(path)
     return path
 
 
@@ -140,8 +146,6 @@ def parse(data: bytes) -> Iterator[dict]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Captures of the archives below `path`. A response whose payload is not what its digest says is an error."""
-    import gzip
-
     def captures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for file, content in zip(frame["path"], frame["content"], strict=True):
@@ -218,9 +222,6 @@ def merged_index(captures: DataFrame) -> DataFrame:
     bounds = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import bisect
-        import pickle
-
         for frame in batches:
             rows = sorted(
                 ((r.url_key, r.capture_ts, 2**63 - 1 if pd.isna(r.page_id) else int(r.page_id)), tuple(r))
@@ -231,19 +232,14 @@ def merged_index(captures: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"range": [which], "run": [pickle.dumps(rows[lo:hi])], "n": [hi - lo]})
 
     def merge(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
         rows = [r[1] for r in LoserTree([pickle.loads(run) for run in frame["run"]])]
         out = pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
         out["range"], out["place"] = keys[0], range(len(rows))
         return out
 
-    from benchloom.storage import cut
-
     sorted_runs = cut(captures.mapInPandas(runs, "range int, run binary, n long"), "capture-runs")
     merged = sorted_runs.groupBy("range").applyInPandas(merge, f"{CAPTURE}, range int, place long")
     sizes = sorted_runs.groupBy("range").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
     offsets = sizes.select(F.col("range").alias("r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     placed = merged.join(offsets, F.col("range") == F.col("r")).withColumn("history_seq", F.col("before") + F.col("place") + 1)
     placed = cut(placed.drop("r", "before", "place", "range"), "capture-index")
@@ -254,7 +250,7 @@ def merged_index(captures: DataFrame) -> DataFrame:
 def archive_history(pages: DataFrame, **options) -> DataFrame:
     """Write the pages as archives, read them back, and give their merged capture index."""
     spark = pages.sparkSession
-    path = write_archives(records(pages, **options), new_path(spark, "archive"))
-    from benchloom.storage import cut
-
+    html = options.get("html", "html")
+    sizes = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length(html), F.lit(0)).cast("long") + 600).alias("b")).first()
+    path = write_archives(records(pages, **options), new_path(spark, "archive"), (sizes["b"] or 0) / max(sizes["n"], 1))
     return merged_index(cut(read_archives(spark, path), "captures"))
