@@ -5,8 +5,8 @@
    dealt to homes; a home ships its distinct anchors, and bits come back.
 2. Merge. What is left in a home are stretches of its documents. Each is a shard with its own
    transform: the bytes before each of its suffixes. All shards start in one
-   interleave that knows nothing, and each refinement sorts it, stably, by the two bytes before its
-   suffixes: an interleave right to depth k becomes one right to depth k + 2. Blocks of suffixes with
+   interleave that knows nothing, and each refinement sorts it, stably, by the symbol before its
+   suffixes: an interleave right to depth k becomes one right to that much more. Blocks of suffixes with
    one prefix are kept along, so their common prefixes are known; suffixes alone in their
    block are settled and leave. What stays to depth `length` are the repeated intervals.
 3. Homes. A home ships one fingerprint of 64 bits per distinct string the sieve left, so a passage in a third of all
@@ -30,6 +30,8 @@ from benchloom.llm.frames import fresh, parts_for
 
 LENGTH = 400
 GRAM, WINDOW = 24, 40
+# Bytes of a symbol once the merge is that deep.
+WIDE = 16
 HOME_BYTES = 4 << 20
 BUCKET_ENTRIES = 1_500_000
 
@@ -134,8 +136,9 @@ def _stretches(home: _Home, starts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
 def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Marks the starts of strings of `length` bytes that occur twice in the given stretches.
 
-    Every stretch is a shard. The interleave begins in shard order; a step goes from each suffix to the one two bytes
-    longer and sorts by those two bytes, stably, which keeps the order of what follows them.
+    Every stretch is a shard. The interleave begins in shard order; a step goes from each suffix to the one that is a symbol
+    longer and sorts by that symbol, stably, which keeps the order of what follows. Symbols are two
+    bytes at first and WIDE bytes later.
     """
     n = len(flat)
     found = np.zeros(n, bool)
@@ -149,10 +152,13 @@ def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.nd
     place = np.arange(n, dtype=np.int32)
     rows = place[place + 2 <= end_of]
     block = np.zeros(len(rows), np.int32)
-    depth = 0
+    depth, step = 2, 2
     while True:
         before = symbols[rows]
-        order = np.argsort(before, kind="stable")
+        # By the low and then the high half: both sorts are stable and by two bytes.
+        order = np.argsort(before.astype(np.uint16), kind="stable")
+        if step > 2:
+            order = order[np.argsort((before[order] >> 16).astype(np.uint16), kind="stable")]
         rows, before, block = rows[order], before[order], block[order]
         new = np.ones(len(rows), bool)
         new[1:] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
@@ -160,12 +166,19 @@ def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.nd
         several = ~(new & np.concatenate((new[1:], [True])))
         block = np.cumsum(new, dtype=np.int32)[several]
         rows = rows[several]
-        depth += 2
         if depth >= length or not len(rows):
             break
+        if depth == WIDE and length % WIDE == 0:
+            # The blocks at this depth rank all strings of that many bytes that occur twice: from here
+            # on they are the symbols, and what is preceded by another string is alone.
+            symbols, step = np.zeros(n, np.int32), WIDE
+            symbols[rows] = block
+        depth += step
         # Suffixes at the front of their shard have no bytes before them.
-        ahead = rows - 2
+        ahead = rows - step
         alive = ahead >= begin_of[rows]
+        if step > 2:
+            alive &= symbols[np.maximum(ahead, 0)] > 0
         rows, block = ahead[alive], block[alive]
     found[rows] = True
     return found
