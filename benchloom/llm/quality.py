@@ -23,6 +23,8 @@ from benchloom.storage import cut
 # Most labelled and unlabelled documents that are fitted on; every document is scored.
 LABELLED, UNLABELLED = 12_000, 24_000
 ROUNDS, SHARE = 4, 0.05
+# Times the odds of any document at which a view is sure.
+SURE = 8.0
 CALIBRATION = 4  # one labelled document in so many calibrates
 THRESHOLD = 0.5
 _SOURCES, _LANGS = 64, 32
@@ -146,20 +148,22 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, more_text: np.nd
         labels = np.array([given[view][i] for i in extra])
         return logistic(np.concatenate((rows[train], pool[extra])), np.concatenate((y[train], labels)))
 
+    held = check if check.any() else train
     models = [fitted(0), fitted(1)]
     take = int(SHARE * len(more_text))
+    prior = np.log(share / (1 - share))
     for _ in range(ROUNDS if take else 0):
         for view in (0, 1):
             margin = models[view].margin(views[view][1])
-            order = np.argsort(margin, kind="stable")
-            other = given[1 - view]
-            fresh_low = [int(i) for i in order if int(i) not in other][:max(1, round(take * (1 - share)))]
-            fresh_high = [int(i) for i in order[::-1] if int(i) not in other][:max(1, round(take * share))]
-            # Only those that the view itself puts on that side are confident.
-            other.update({i: 0.0 for i in fresh_low if margin[i] < 0})
-            other.update({i: 1.0 for i in fresh_high if margin[i] > 0})
+            # Odds as calibrated on documents of known label, against those of any document: a view that
+            # knows nothing is never sure.
+            odds = logistic(models[view].margin(views[view][0][held])[:, None], y[held]).margin(margin[:, None]) - prior
+            order = np.argsort(odds, kind="stable")
+            order = order[~np.isin(order, list(given[1 - view]))]
+            low, high = order[:max(1, round(take * (1 - share)))], order[::-1][:max(1, round(take * share))]
+            given[1 - view].update({int(i): 0.0 for i in low if odds[i] <= -np.log(SURE)})
+            given[1 - view].update({int(i): 1.0 for i in high if odds[i] >= np.log(SURE)})
         models = [fitted(0), fitted(1)]
-    held = check if check.any() else train
     margins = [models[v].margin(views[v][0][held]) for v in (0, 1)]
     scales = [logistic(m[:, None], y[held]) for m in margins]
     calibrated = np.column_stack([s.margin(m[:, None]) for s, m in zip(scales, margins, strict=True)])
