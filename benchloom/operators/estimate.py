@@ -8,11 +8,11 @@ POINTS_PER_PARTITION = 100_000
 
 
 def ratio_estimate(df: DataFrame, inside: Column, scale: float = 1.0) -> DataFrame:
-    """scale * share of rows inside the predicate, with its standard error."""
-    share = F.col("n_inside") / F.col("n")
+    """scale * share of rows inside the predicate, with its standard error; both NULL without rows."""
+    share = F.col("n_inside") / F.nullif(F.col("n"), F.lit(0))
     return df.agg(F.count_if(inside).alias("n_inside"), F.count("*").alias("n")).select(
         "n", "n_inside", (share * scale).alias("estimate"),
-        (F.sqrt(share * (1 - share) / F.col("n")) * scale).alias("std_error"),
+        (F.sqrt(share * (1 - share) / F.nullif(F.col("n"), F.lit(0))) * scale).alias("std_error"),
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from benchloom.operators.skew import keep_keys
@@ -140,9 +143,11 @@ def rank_runs(metrics: DataFrame, run: str, by: tuple[str, ...] = ("workload", "
     A window over the whole group would put a hot workload into one task. Instead the rows
     are range-partitioned by group, score and run, which cuts a large group into slices;
     rows are ranked inside their slice and the slices are then offset by what precedes them.
-    `metrics` is read twice, so pass a stored table, not a costly query.
+    `metrics` is read twice, so pass a stored table, not a costly query. NULL is a group
+    like any other; rows without a value are kept, with a NULL rank.
     """
     by = list(by)
+    unranked = metrics.where(F.col("value").isNull()).select("*", F.lit(None).cast("long").alias("rank"))
     slice_key = ["slice", *by]
     sliced = (
         metrics.where(F.col("value").isNotNull()).withColumn("score", _score())
@@ -174,4 +179,6 @@ def rank_runs(metrics: DataFrame, run: str, by: tuple[str, ...] = ("workload", "
     rank = F.when(
         F.col("tie_rank").isNotNull() & (F.col("score") == F.col("lo")), F.col("tie_rank")
     ).otherwise(F.col("before") + F.col("local_rank"))
-    return local.join(offsets, slice_key).select(*metrics.columns, rank.cast("long").alias("rank"))
+    offsets = offsets.select(*[F.col(c).alias(f"of_{c}") for c in slice_key], "before", "tie_rank", "lo")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in slice_key])
+    return local.join(offsets, same).select(*metrics.columns, rank.cast("long").alias("rank")).union(unranked)

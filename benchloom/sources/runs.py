@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def write_runs(df: DataFrame, path: str) -> None:
@@ -15,4 +15,7 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """Runs as written: a workload named by digits stays a string."""
+    found = spark.read.parquet(path)
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "workload" else f for f in found.schema]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
