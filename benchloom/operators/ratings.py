@@ -123,13 +123,14 @@ def _columns(letter: str, rank: int) -> list[str]:
 def svdpp(
     ratings: DataFrame, rank: int = 10, iters: int = 10, rate: float = 0.5,
     reg_bias: float = 0.005, reg_factor: float = 0.015,
-    bounds: tuple[float, float] = (0.0, 5.0), seed: int = 42,
+    bounds: tuple[float, float] | None = None, seed: int = 42,
 ) -> SvdPlusPlus:
     """SVD++ (Koren, KDD 2008) by full-batch gradient steps; (user, item) pairs must be unique.
 
     A step moves each user and item by the mean gradient over its ratings, so that one with
     very many ratings takes no larger step than others; `rate` suits ratings up to about 5, and
-    larger ones need a smaller rate. Start factors are drawn from ids and
+    larger ones need a smaller rate. Estimates are held within `bounds`, those of the ratings if
+    none are given. Start factors are drawn from ids and
     seed. Factors are plain columns: sums over them run in generated code and are combined
     before each shuffle. Ratings stay cached, partitioned by item; an iteration shuffles them
     once, by user, and cuts the user and item state, which is small beside them.
@@ -140,6 +141,9 @@ def svdpp(
     )
     total, n_ratings = users.agg(F.sum(F.col("mean") * F.col("n")), F.sum("n")).first()
     mean = total / n_ratings if n_ratings else 0.0
+    if bounds is None:
+        low, high = ratings.agg(F.min("rating").cast("double"), F.max("rating").cast("double")).first()
+        bounds = (low or 0.0, high or 0.0)
     parts = cache_parts(ratings.sparkSession, n_ratings or 0)
     hot_users, hot_items = hot_keys(users, "user"), hot_keys(items, "item")
     rows = with_salt(ratings.select("user", "item", "rating"), "user", hot_users, ["item"], "user_slice")

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from benchloom.operators import estimate, records
+from benchloom.operators import estimate, ratings, records
 from benchloom.sources.runs import read_runs, write_runs
 from benchloom.streaming import windows
 
@@ -31,3 +31,11 @@ def test_events_without_time_are_in_no_session(spark):
     events = spark.createDataFrame([(1, datetime(2024, 1, 1)), (1, None)], "user_id long, ts timestamp")
     assert windows.sessions(events, "30 minutes").select("n").collect()[0].n == 1
     assert windows.sessions(events, "30 minutes").count() == 1
+
+
+def test_svdpp_estimates_lie_within_the_ratings(spark):
+    rows = [(1, 1, 50.0), (1, 2, 60.0), (2, 1, 70.0)]
+    frame = spark.createDataFrame(rows, "user long, item long, rating double")
+    model = ratings.svdpp(frame, rank=2, iters=1, rate=0.01)
+    got = [r.prediction for r in model.predict(frame).collect()]
+    assert model.bounds == (50.0, 70.0) and all(50 <= x <= 70 for x in got)

@@ -83,7 +83,7 @@ def numpy_svdpp(rows, rank, iters, rate, reg_bias, reg_factor, bounds, seed):
 
 def test_svdpp_equals_numpy_with_hot_user_and_item(spark, lookup_size, no_auto_broadcast):
     rows = hot_ratings()
-    model = R.svdpp(spark.createDataFrame(rows, SCHEMA), rank=3, iters=2, rate=0.3, seed=5)
+    model = R.svdpp(spark.createDataFrame(rows, SCHEMA), rank=3, iters=2, rate=0.3, bounds=(0.0, 5.0), seed=5)
     got = {(r.user, r.item): r.prediction for r in model.predict(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = numpy_svdpp(rows, 3, 2, 0.3, 0.005, 0.015, (0.0, 5.0), 5)
     assert len(got) == len(rows)
