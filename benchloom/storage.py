@@ -38,3 +38,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that only live until a step is done: `with Scratch(spark) as scratch: scratch.cut(df, name)`.
+
+    All of them are removed when the block ends, also by an error, so a loop leaves no more than it returns.
+    What outlives the block has to be written by the plain `cut` before, as frames are lazy.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "scratch") -> None:
+        self.spark, self.path = spark, new_path(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -37,3 +38,20 @@ def test_cut_ends_the_lineage(spark):
     assert "Aggregate" not in plan and kept.dtypes == df.dtypes
     assert sorted(kept.collect()) == sorted(df.collect())
     assert all(storage.work_dir(spark).split(":")[-1] in f for f in kept.inputFiles())
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    with storage.Scratch(spark, "test") as scratch:
+        step = scratch.cut(spark.range(10), "step")
+        kept = storage.cut(step.where("id > 3"), "kept")
+        files = step.inputFiles()
+        assert files and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert kept.count() == 6
+
+
+def test_scratch_tables_go_after_an_error(spark):
+    with pytest.raises(ZeroDivisionError), storage.Scratch(spark) as scratch:
+        path = scratch.cut(spark.range(3), "step").inputFiles()[0]
+        1 / 0
+    assert not os.path.exists(path.removeprefix("file://"))
