@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,6 +30,9 @@ def bias_baseline(ratings: DataFrame) -> DataFrame:
 # Width of the range around 0 from which SVD++ start factors are drawn.
 START = 0.5
 
+# Ratings that one block of ALS holds, so that its tasks grow in number with the data and not in size.
+RATINGS_PER_BLOCK = 1_000_000
+
 # ALS takes ids of this range only.
 MAX_ALS_ID = 2**31 - 1
 
@@ -77,12 +82,15 @@ def fit_als(ratings: DataFrame, rank: int = 10, iters: int = 10, reg: float = 0.
     """Matrix factorization by alternating least squares."""
     work_dir(ratings.sparkSession)  # ALS cuts its lineage in the checkpoint folder
     spans = [f(c) for c in ("user", "item") for f in (F.min, F.max)]
-    low_user, high_user, low_item, high_item = ratings.agg(*spans).first()
+    low_user, high_user, low_item, high_item, n_ratings = ratings.agg(*spans, F.count(F.lit(1))).first()
+    if low_user is None or low_item is None:
+        raise ValueError("ratings without users and items cannot be fitted")
+    blocks = max(10, math.ceil(n_ratings / RATINGS_PER_BLOCK))
     fits = min(low_user, low_item) >= 0 and max(high_user, high_item) <= MAX_ALS_ID
     fitted = Als() if fits else Als(_dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
     als = ALS(
         userCol="user_number", itemCol="item_number", ratingCol="rating", rank=rank, maxIter=iters,
-        regParam=reg, seed=seed, coldStartStrategy="drop",
+        regParam=reg, seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks,
     )
     fitted.model = als.fit(fitted.numbered(ratings).withColumn("rating", F.col("rating").cast("float")))
     return fitted

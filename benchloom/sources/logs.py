@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+
+def decoded(path: Column) -> Column:
+    """A path or name without its percent escapes; + stands for itself, and what is no escape stays."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their run, from `<run>.log` files or folders anywhere below `path`."""
+    """Log lines with their run, from `<run>.log` files or folders anywhere below `path`.
+
+    Runs come back as `write_logs` got them: folders that Spark named have their escapes undone.
+    """
+    file = decoded(F.col("_metadata.file_path"))
+    run = F.regexp_extract(file, r"([^/=]+)\.log(?:/|$)", 1)
     return (
         spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-        .select(
-            F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)\.log(?:/|$)", 1).alias("run"),
-            "value",
-        )
+        .select(F.when(file.rlike(r"/log=[^/]+\.log/"), decoded(run)).otherwise(run).alias("run"), "value")
     )
 
 

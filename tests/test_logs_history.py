@@ -80,3 +80,9 @@ def test_ratio_of_a_known_share(spark):
     row = estimate.ratio_estimate(spark.range(100), F.col("id") < 25, scale=2.0).first()
     assert (row.n, row.n_inside, row.estimate) == (100, 25, 0.5)
     assert abs(row.std_error - 2 * (0.25 * 0.75 / 100) ** 0.5) < 1e-12
+
+
+def test_runs_with_special_characters_come_back(spark, tmp_path):
+    names = ["2015-12-10-23:41:57", "my run", "k=v", "50%", "a+b", "007"]
+    write_logs(spark.createDataFrame([(n, "line") for n in names], "run string, value string"), str(tmp_path / "l"))
+    assert sorted(r.run for r in read_logs(spark, str(tmp_path / "l")).collect()) == sorted(names)

@@ -115,3 +115,8 @@ def test_dense_ids_have_no_gaps(spark):
     row = R._dense_ids(frame, "user").agg(
         F.min("user_number"), F.max("user_number"), F.count_distinct("user_number"), F.count_distinct("user")).first()
     assert tuple(row) == (0, 999, 1000, 1000)
+
+
+def test_als_of_no_ratings_is_a_clear_error(spark):
+    with pytest.raises(ValueError, match="ratings"):
+        R.fit_als(spark.createDataFrame([], "user long, item long, rating double"))
