@@ -170,33 +170,52 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 lists = np.split(feature.astype(np.uint16), np.searchsorted(row, np.arange(1, hi - lo)))
                 yield pa.RecordBatch.from_arrays([whole.column("p").slice(lo, hi - lo), pa.array([x.tobytes() for x in lists], pa.binary())], names=["p", "v"])
 
-    # Order decides how sums round; sorted rows make a rerun give the same model.
-    table = chosen.mapInArrow(vectors, "p boolean, v binary").orderBy("p", "v").toPandas()
+    table = cut(chosen.mapInArrow(vectors, "p boolean, v binary"), "toxicity-vectors")
+    width = len(vocabulary.hashes)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, counts = np.zeros(2, np.int64), np.zeros((2, width), np.int64)
+        for batch in batches:
+            for positive, v in zip(batch.column("p").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                rows[int(positive)] += 1
+                counts[int(positive), np.frombuffer(v, np.uint16)] += 1
+        # Feature -1 counts the texts.
+        for kind in np.flatnonzero(rows):
+            filled = np.flatnonzero(counts[kind])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(filled) + 1, bool(kind))), pa.array(np.concatenate(([-1], filled))), pa.array(np.concatenate(([rows[kind]], counts[kind][filled]))),
+            ], names=["p", "feature", "n"])
+
+    found = table.mapInArrow(frequencies, "p boolean, feature long, n long").groupBy("p", "feature").agg(F.sum("n").alias("n")).toPandas()
+    totals, often = np.zeros(2, np.int64), np.zeros((2, width))
+    for p, part in found.groupby("p"):
+        counts = part.set_index("feature")["n"]
+        totals[int(p)] = counts.pop(-1)
+        often[int(p), counts.index.to_numpy()] = counts.to_numpy()
+    kept = _lifted(often[1], int(totals[1]), often[0], int(totals[0]))
+    number = np.cumsum(kept) - 1
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.frombuffer(v, np.uint16) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array([number[x[kept[x]]].astype(np.uint16).tobytes() for x in lists], pa.binary())], names=["p", "v"])
+
+    # The driver holds no features but those that are used. Order decides how sums round; sorted rows make a rerun give the same model.
+    used = table.mapInArrow(reduced, "p boolean, v binary").orderBy("p", "v").toPandas()
 
     def rows(part: pd.Series) -> tuple[np.ndarray, np.ndarray, int]:
-        # Narrow numbers: what the driver holds is these, until the features that are used have been chosen.
         lengths = part.str.len().to_numpy(np.int64) // 2
         return np.repeat(np.arange(len(part), dtype=np.int32), lengths), np.frombuffer(b"".join(part), np.uint16), len(part)
 
-    width = len(vocabulary.hashes)
-    positive, unlabelled = rows(table["v"][table["p"]]), rows(table["v"][~table["p"]])
-    del table
-    kept = _lifted(positive, unlabelled, width)
-    number = np.cumsum(kept) - 1
-
-    def only_kept(data: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, int]:
-        used = kept[data[1]]
-        return data[0][used], number[data[1][used]], data[2]
-
-    weights, bias = nn_pu_fit(only_kept(positive), only_kept(unlabelled), int(kept.sum()), prior)
+    weights, bias = nn_pu_fit(rows(used["v"][used["p"]]), rows(used["v"][~used["p"]]), int(kept.sum()), prior)
     return ToxicityModel(Vocabulary(vocabulary.hashes[kept]), weights, bias)
 
 
-def _lifted(positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], width: int) -> np.ndarray:
-    """Which features are clearly more frequent among positives than among unlabelled texts."""
-    p, u = (np.bincount(d[1], minlength=width) / max(d[2], 1) for d in (positive, unlabelled))
-    pooled = (p * positive[2] + u * unlabelled[2]) / (positive[2] + unlabelled[2])
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / max(positive[2], 1) + 1 / max(unlabelled[2], 1)))
+def _lifted(positive: np.ndarray, positives: int, unlabelled: np.ndarray, others: int) -> np.ndarray:
+    """Which features are clearly more frequent among positives than among unlabelled texts, from the texts that have each."""
+    p, u = positive / max(positives, 1), unlabelled / max(others, 1)
+    pooled = (p * positives + u * others) / (positives + others)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / max(positives, 1) + 1 / max(others, 1)))
     return (p >= LEAST_LIFT * u) & (p - u >= LEAST_ERRORS * error)
 
 
