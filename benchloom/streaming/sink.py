@@ -6,17 +6,55 @@ when it is run again with the same path. No sink passes rows through the driver.
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from benchloom.operators.records import latest_per_key
 
 
-def _run(writer, path: str) -> StreamingQuery:
-    query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+class _Drops(StreamingQueryListener):
+    """Adds up the rows that every micro-batch of a run dropped; a query itself only remembers its last few batches."""
+
+    def __init__(self) -> None:
+        self.rows: Counter[str] = Counter()
+        self.ended: set[str] = set()
+        self.news = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.rows[str(event.progress.runId)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.news:
+            self.ended.add(str(event.runId))
+            self.news.notify_all()
+
+    def of(self, run: str) -> int:
+        """The sum of a run that has ended; events come in order, its end last."""
+        with self.news:
+            if not self.news.wait_for(lambda: run in self.ended, timeout=60):
+                raise RuntimeError("the end of the stream was not reported")
+        return self.rows[run]
+
+
+def _run(writer, path: str, streams) -> StreamingQuery:
+    drops = _Drops()
+    streams.addListener(drops)
+    try:
+        query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        query.rows_dropped = drops.of(str(query.runId))
+    finally:
+        streams.removeListener(drops)
     return query
 
 
@@ -26,7 +64,7 @@ def _table(df: DataFrame, path: str) -> DataFrame:
 
 def run_append(df: DataFrame, path: str) -> tuple[DataFrame, StreamingQuery]:
     """Rows as they become final: each closed window or session once."""
-    query = _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table"), path)
+    query = _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table"), path, df.sparkSession.streams)
     return _table(df, path), query
 
 
@@ -50,7 +88,7 @@ def run_batches(
     def store(batch: DataFrame, number: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    return _run(df.writeStream.outputMode(mode).foreachBatch(store), path)
+    return _run(df.writeStream.outputMode(mode).foreachBatch(store), path, df.sparkSession.streams)
 
 
 def run_topk(counts: DataFrame, change: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, StreamingQuery]:
@@ -60,12 +98,9 @@ def run_topk(counts: DataFrame, change: Callable[[DataFrame], DataFrame], path:
 
 
 def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the last run left out for being behind the watermark.
+    """Rows that a run of this module left out for being behind the watermark, over all its micro-batches.
 
     Stateful operators count after combining rows within a task, so this is the number of
     partial results, not of events.
     """
-    return sum(
-        operator["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress for operator in progress["stateOperators"]
-    )
+    return query.rows_dropped

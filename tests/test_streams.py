@@ -168,3 +168,21 @@ def test_enrichment_drops_unknown_users_and_goes_on_after_a_restart(spark, folde
         deliver(spark, folder, batch)
         got, _ = sink.run_append(W.enrich_stream(events_stream(spark, folder), customer), f"{folder}/out")
     assert sorted((r.event_id, r.c_nationkey) for r in got.collect()) == [(1, 9), (3, 9)]
+
+
+def test_drops_are_counted_beyond_what_a_query_remembers(spark, folder):
+    """Late rows in five micro-batches of one run, of which the query itself remembers fewer."""
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "2")
+    try:
+        deliver(spark, folder, [event(1, 0), event(2, 3000)])
+        for k in range(6):
+            deliver(spark, folder, [event(10 + k, k)])
+            counts = W.tumbling_counts(W.watermarked(events_stream(spark, folder, max_files=1), "10 minutes"), "1 hour")
+            if k == 0:
+                sink.run_upsert(counts, ["window_start", "window_end", "event_type"], f"{folder}/out")
+        _, query = sink.run_upsert(counts, ["window_start", "window_end", "event_type"], f"{folder}/out")
+        assert len(query.recentProgress) < 5 and sink.dropped_rows(query) == 5
+    finally:
+        spark.conf.set(kept, before)
