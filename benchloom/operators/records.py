@@ -55,10 +55,16 @@ def with_catalog(runs: DataFrame, catalog: DataFrame) -> DataFrame:
     return runs.join(catalog, "action")
 
 
-def _prefixes(apps: DataFrame) -> DataFrame:
-    """Every distinct start of every application line, so that prefix matches become equi-joins."""
-    lengths = F.sequence(F.lit(0), F.length("value"))
-    return apps.select(F.explode(F.transform(lengths, lambda n: F.left("value", n))).alias("start"))
+def _prefixes(apps: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """Starts of every application line as long as some name, so that prefix matches become equi-joins.
+
+    Only the distinct lengths of the names come to the driver: a long line has no more starts than there are such lengths.
+    """
+    lengths = names.select(F.length(name).alias("n")).where("n IS NOT NULL").distinct().toArrow()["n"].to_pylist()
+    if not lengths:
+        return apps.select(F.col("value").alias("start")).where(F.lit(False))
+    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("value"))
+    return apps.select(F.explode(F.transform(fitting, lambda n: F.left("value", n))).alias("start"))
 
 
 def known_apps(apps: DataFrame, name: str) -> DataFrame:
@@ -68,7 +74,7 @@ def known_apps(apps: DataFrame, name: str) -> DataFrame:
 
 def app_counts(apps: DataFrame, names: DataFrame, name: str = "benchmark") -> DataFrame:
     """How many application lines start with each name; 0 for names without one."""
-    counts = _prefixes(apps).groupBy("start").agg(F.count("*").alias("n_apps"))
+    counts = _prefixes(apps, names, name).groupBy("start").agg(F.count("*").alias("n_apps"))
     return names.join(counts, F.col(name) == F.col("start"), "left").select(
         names["*"], F.coalesce("n_apps", F.lit(0)).alias("n_apps")
     )
@@ -76,9 +82,10 @@ def app_counts(apps: DataFrame, names: DataFrame, name: str = "benchmark") -> Da
 
 def _known(runs: DataFrame, apps: DataFrame, name: str) -> DataFrame:
     """Each workload once, with its count and whether it starts some application line."""
-    starts = _prefixes(apps).distinct().withColumn("known", F.lit(True))
+    names = cut(runs.groupBy(name).agg(F.count("*").alias("n")), "names")
+    starts = _prefixes(apps, names, name).distinct().withColumn("known", F.lit(True))
     return cut(
-        runs.groupBy(name).agg(F.count("*").alias("n"))
+        names
         .join(starts, F.col(name) == F.col("start"), "left")
         .select(name, "n", F.coalesce("known", F.lit(False)).alias("known")),
         "known",

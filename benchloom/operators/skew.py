@@ -10,10 +10,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType, StringType
 
-# Most rows of a lookup table that are sent to every executor. Lookups have a few dozen
-# numeric columns at most, so this is tens of megabytes.
-BROADCAST_ROWS = 200_000
+# Most rows, and most bytes before any encoding, of a lookup table that is sent to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 # Rows that make a task worth starting.
 ROWS_PER_TASK = 100_000
@@ -29,8 +29,19 @@ def cache_parts(spark: SparkSession, rows: int) -> int:
 
 
 def is_small(table: DataFrame) -> bool:
-    """Whether a stored table may be broadcast, from its row count, which its files hold."""
-    return table.count() <= BROADCAST_ROWS
+    """Whether a stored table may be broadcast, from its row count, which its files hold, and then its bytes.
+
+    A number counts as eight bytes; the lengths of all else are added up.
+    """
+    rows = table.count()
+    fixed = [f.name for f in table.schema if isinstance(f.dataType, (NumericType, BooleanType, DatetimeType))]
+    if rows > BROADCAST_ROWS or 8 * rows * len(fixed) > BROADCAST_BYTES:
+        return False
+    others = [F.octet_length(c if isinstance(table.schema[c].dataType, (StringType, BinaryType)) else F.to_json(F.struct(c))) for c in table.columns if c not in fixed]
+    if not others:
+        return True
+    longer = table.agg(F.sum(sum((F.coalesce(n, F.lit(0)).cast("long") for n in others), F.lit(0).cast("long")))).first()[0]
+    return 8 * rows * len(fixed) + (longer or 0) <= BROADCAST_BYTES
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n", name: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from benchloom.operators import estimate, ratings, records
+from benchloom.operators import estimate, ratings, records, skew
 from benchloom.sources.runs import read_runs, write_runs
+from benchloom.storage import cut
 from benchloom.streaming import windows
 
 
@@ -39,3 +40,22 @@ def test_svdpp_estimates_lie_within_the_ratings(spark):
     model = ratings.svdpp(frame, rank=2, iters=1, rate=0.01)
     got = [r.prediction for r in model.predict(frame).collect()]
     assert model.bounds == (50.0, 70.0) and all(50 <= x <= 70 for x in got)
+
+
+def test_long_application_line_has_only_starts_as_long_as_a_name(spark):
+    apps = spark.createDataFrame([("ab" * 10_000,), ("a",), (None,)], "value string")
+    names = spark.createDataFrame([("ab",), ("a",), ("",), ("abb",), (None,)], "benchmark string")
+    starts = records._prefixes(apps, names, "benchmark")
+    assert starts.agg(F.max(F.length("start"))).first()[0] == 3 and starts.count() == 4 + 2
+    counts = {r.benchmark: r.n_apps for r in records.app_counts(apps, names).collect()}
+    assert counts == {"ab": 1, "a": 2, "": 2, "abb": 0, None: 0}
+    none = records.app_counts(apps, names.where("benchmark IS NULL")).collect()
+    assert [r.n_apps for r in none] == [0]
+
+
+def test_lookup_of_many_bytes_is_not_broadcast(spark):
+    few = cut(spark.range(20_000), "few")
+    wide = cut(spark.range(20_000).select("id", *[F.col("id").cast("double").alias(f"q{k}") for k in range(500)]), "wide")
+    long = cut(spark.range(20_000).select("id", F.repeat(F.lit("x"), 5_000).alias("text")), "long")
+    listed = cut(spark.range(2_000).select("id", F.array_repeat(F.lit("x"), 20_000).alias("texts")), "listed")
+    assert [skew.is_small(t) for t in (few, wide, long, listed)] == [True, False, False, False]
