@@ -3,14 +3,17 @@
 1. Sieve. In every run of WINDOW k-grams the one with the smallest hash is an anchor. Equal strings have equal
    anchors, so a string of `length` bytes can only repeat if all anchors inside it do. Texts are
    dealt to homes; a home ships its distinct anchors, and bits come back.
-2. Merge. What is left in a home are stretches of its documents. Each is a shard with its own
+2. Filter. A home ships 32 bits of the hash of each distinct string the sieve left; what has no like hash anywhere
+   leaves. This only spares work: nothing is removed by hashes.
+3. Merge. What is left are stretches of documents. Each is a shard with its own
    transform: the bytes before each of its suffixes. All shards start in one
    interleave that knows nothing, and each refinement sorts it, stably, by the symbol before its
    suffixes: an interleave right to depth k becomes one right to that much more. Blocks of suffixes with
    one prefix are kept along, so their common prefixes are known; suffixes alone in their
    block are settled and leave. What stays to depth `length` are the repeated intervals.
-3. Homes. A home ships one fingerprint of 64 bits per distinct string the sieve left, so a passage in a third of all
-   documents costs an entry per home. Bits come back again, and the merge has to decide on the rest.
+   First a home merges its own stretches. Then one string of each of its classes goes to where strings with the same
+   least anchor meet, whatever their homes: neighbours with one anchor as one stretch. There the same merge decides.
+   Anchors in many homes come last in that choice, so that a common line does not gather what stands around it.
 
 Equal texts are one text with a count, from the map side on.
 """
@@ -33,6 +36,10 @@ GRAM, WINDOW = 24, 40
 # Bytes of a symbol once the merge is that deep.
 WIDE = 16
 HOME_BYTES = 4 << 20
+# Bytes of stretches that are merged at a time; those of one anchor stay together.
+MERGE_BYTES = 4 << 20
+# An anchor in more homes than this is common.
+COMMON_HOMES = 64
 BUCKET_ENTRIES = 1_500_000
 
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -41,6 +48,7 @@ _MOST = U64(0xFFFFFFFFFFFFFFFF)
 _PIECE = 128 << 10
 _BITS = "home long, level int, bucket long, bits binary"
 _SHIPPED = "bucket long, home long, entries binary"
+_STRETCHES = "bucket long, home long, anchors binary, begins binary, sizes binary, marks binary, bytes binary"
 
 
 def _sliding(values: np.ndarray, width: int, best: np.ufunc, fill: np.uint64) -> np.ndarray:
@@ -93,6 +101,14 @@ class _Piece:
         fits = np.flatnonzero(np.arange(n) + self.length <= self.end)
         return fits[total[fits + self.length - GRAM - WINDOW + 2] == total[fits]]
 
+    def dealt_by(self, at: np.ndarray, values: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The least anchor inside each string that starts at `at`; common ones come after all others."""
+        runs = np.flatnonzero(np.concatenate(([True], self.least[1:] != self.least[:-1])))
+        where = np.minimum(np.searchsorted(values, self.least[runs]), max(len(values) - 1, 0))
+        last = (common[where] & (values[where] == self.least[runs])).astype(U64) << U64(63)
+        ranked = np.repeat(last | self.least[runs] >> U64(1), np.diff(np.concatenate((runs, [len(self.flat)]))))
+        return _sliding(ranked, self.length - GRAM - WINDOW + 2, np.minimum, _MOST)[at]
+
 
 class _Home:
     """Texts of one home in order of their keys, with their anchors."""
@@ -133,15 +149,15 @@ def _stretches(home: _Home, starts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return (np.concatenate(flats) if flats else np.zeros(0, np.uint8)), (np.concatenate(ends) if ends else none), (np.concatenate(places) if places else none)
 
 
-def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Marks the starts of strings of `length` bytes that occur twice in the given stretches.
+def repeated_classes(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Numbers the classes of equal strings of `length` bytes in the given stretches, at each start; 0 for a string that occurs once.
 
     Every stretch is a shard. The interleave begins in shard order; a step goes from each suffix to the one that is a symbol
     longer and sorts by that symbol, stably, which keeps the order of what follows. Symbols are two
     bytes at first and WIDE bytes later.
     """
     n = len(flat)
-    found = np.zeros(n, bool)
+    found = np.zeros(n, np.int32)
     if n < 2:
         return found
     sizes = np.diff(np.concatenate(([0], ends)))
@@ -180,7 +196,7 @@ def repeated_intervals(flat: np.ndarray, ends: np.ndarray, length: int) -> np.nd
         if step > 2:
             alive &= symbols[np.maximum(ahead, 0)] > 0
         rows, block = ahead[alive], block[alive]
-    found[rows] = True
+    found[rows] = block
     return found
 
 
@@ -190,25 +206,107 @@ def _runs(unique: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True)]
 
 
-def _judge(level: int, kind: type):
-    """Which entries of a bucket occur in more than one home."""
+def _judge(level: int):
+    """In how many homes each entry of a bucket is: 0 for one, 1 for several, 2 for more than COMMON_HOMES."""
     def judged(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, kind) for x in table["entries"].to_pylist()]
+        parts = [np.frombuffer(x, np.uint32) for x in table["entries"].to_pylist()]
         entries = np.concatenate(parts)
         order = np.argsort(entries, kind="stable")
-        same = entries[order][1:] == entries[order][:-1]
-        repeated = np.zeros(len(entries), bool)
-        repeated[order[1:]] |= same
-        repeated[order[:-1]] |= same
+        group = np.cumsum(np.concatenate(([False], entries[order][1:] != entries[order][:-1])))
+        counts = np.bincount(group)
+        answer = np.zeros(len(entries), np.uint8)
+        answer[order] = ((counts > 1).astype(np.uint8) + (counts > COMMON_HOMES))[group]
         ends = np.cumsum([len(p) for p in parts])
         return pa.table({
             "home": table["home"].cast(pa.int64()), "level": pa.array([level] * len(parts), pa.int32()), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int64()),
-            "bits": pa.array([repeated[b - len(p):b].astype(np.uint8).tobytes() for p, b in zip(parts, ends, strict=True)], pa.binary()),
+            "bits": pa.array([answer[b - len(p):b].tobytes() for p, b in zip(parts, ends, strict=True)], pa.binary()),
         })
 
     return judged
 
 
+def _intervals(at: np.ndarray) -> np.ndarray:
+    """First and last of each run of neighbours in sorted numbers."""
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1))) if len(at) else np.zeros(0, int)
+    return np.column_stack((at[new], at[np.concatenate((new[1:], [len(at)])) - 1] if len(at) else at)).astype(np.int64).ravel()
+
+
+def _stretches_of(home: _Home, starts: list[np.ndarray], common: np.ndarray, buckets: int) -> list[tuple]:
+    """Rows of _STRETCHES but the home: the strings at `starts`, neighbours with one least anchor as one stretch."""
+    anchors, begins, sizes, texts, marks, have = [], [], [], [], [], 0
+    for piece, at in zip(home.pieces, starts, strict=True):
+        if len(at):
+            least = piece.dealt_by(at, home.values, common)
+            new = (least[1:] != least[:-1]) | (at[1:] > at[:-1] + home.length) | (piece.end[at[1:]] != piece.end[at[:-1]])
+            first = np.flatnonzero(np.concatenate(([True], new)))
+            to = np.concatenate((first[1:], [len(at)]))
+            ends = at[to - 1] + home.length
+            anchors.append(least[first])
+            begins.append(at[first] + have)
+            sizes.append(ends - at[first])
+            for a, b, i, k in zip(at[first], ends, first, to, strict=True):
+                texts.append(piece.flat[a:b])
+                mark = np.zeros(b - a, np.uint8)
+                mark[at[i:k] - a] = 1
+                marks.append(mark)
+        have += len(piece.flat)
+    if not anchors:
+        return []
+    anchors, begins, sizes = np.concatenate(anchors), np.concatenate(begins), np.concatenate(sizes)
+    dealt = mix(anchors)
+    order = np.argsort(dealt, kind="stable")
+    return [
+        (bucket, anchors[order[a:b]].tobytes(), begins[order[a:b]].astype(np.int64).tobytes(), sizes[order[a:b]].astype(np.int64).tobytes(),
+         np.packbits(np.concatenate([marks[i] for i in order[a:b]])).tobytes(), np.concatenate([texts[i] for i in order[a:b]]).tobytes())
+        for bucket, a, b in _runs(dealt[order], buckets)
+    ]
+
+
+def _merge(length: int):
+    """Which marked strings of a bucket's stretches occur twice, as intervals of starts in each home. What a home found itself passes."""
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, homes = key[0].as_py(), table["home"].to_numpy()
+        if bucket < 0:
+            return pa.table({"home": table["home"].cast(pa.int64()), "intervals": table["bytes"].cast(pa.binary())})
+        rows = table.select(["anchors", "begins", "sizes", "marks", "bytes"]).to_pylist()
+        anchors = [np.frombuffer(r["anchors"], U64) for r in rows]
+        begins = np.concatenate([np.frombuffer(r["begins"], np.int64) for r in rows])
+        sizes = np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows])
+        of = np.repeat(homes, [len(a) for a in anchors])
+        flat = np.concatenate([np.frombuffer(r["bytes"], np.uint8) for r in rows])
+        mark = np.concatenate([np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=len(r["bytes"])) for r in rows]).astype(bool)
+        at = np.cumsum(sizes) - sizes
+        anchors = np.concatenate(anchors)
+        order = np.argsort(anchors, kind="stable")
+        total = np.cumsum(sizes[order])
+        last = np.flatnonzero(np.concatenate((anchors[order][1:] != anchors[order][:-1], [True]))) + 1
+        found: dict[int, list[np.ndarray]] = {}
+        lo = 0
+        while lo < len(order):
+            # As many whole groups as fit, at least one.
+            fits = np.searchsorted(total[last - 1], (total[lo - 1] if lo else 0) + MERGE_BYTES, side="right")
+            hi = int(max(last[max(fits - 1, 0)], last[np.searchsorted(last, lo, side="right")]))
+            mine = order[lo:hi]
+            lo = hi
+            if len(mine) < 2:
+                continue
+            bytes_of = np.concatenate([flat[at[i]:at[i] + sizes[i]] for i in mine])
+            marked = np.flatnonzero(np.concatenate([mark[at[i]:at[i] + sizes[i]] for i in mine]))
+            ends = np.cumsum(sizes[mine])
+            classes = repeated_classes(bytes_of, ends, length)[marked]
+            twice = marked[(np.bincount(classes, minlength=1)[classes] > 1) & (classes > 0)]
+            run = np.searchsorted(ends, twice, side="right")
+            starts = twice - (ends - sizes[mine])[run] + begins[mine[run]]
+            for home in np.unique(of[mine[run]]):
+                found.setdefault(int(home), []).append(starts[of[mine[run]] == home])
+        return pa.table({
+            "home": pa.array(list(found), pa.int64()),
+            "intervals": pa.array([_intervals(np.sort(np.concatenate(f))).tobytes() for f in found.values()], pa.binary()),
+        })
+
+    return merged
+
+
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counted = pc.value_counts(batch.column("text"))
@@ -234,10 +332,10 @@ def repeated_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     def ship_anchors(key: tuple, table: pa.Table) -> pa.Table:
         home = _Home(table, length)
-        return _entries(key, home.values, (home.values & U64(0xFFFFFFFF)).astype(np.uint32))
+        return _entries(key, home.values)
 
-    def _entries(key: tuple, unique: np.ndarray, entries: np.ndarray) -> pa.Table:
-        runs = _runs(unique, buckets)
+    def _entries(key: tuple, unique: np.ndarray) -> pa.Table:
+        runs, entries = _runs(unique, buckets), (unique & U64(0xFFFFFFFF)).astype(np.uint32)
         return pa.table({
             "bucket": pa.array([r[0] for r in runs], pa.int64()), "home": pa.array([key[0].as_py()] * len(runs), pa.int64()),
             "entries": pa.array([entries[a:b].tobytes() for _, a, b in runs], pa.binary()),
@@ -245,41 +343,70 @@ def repeated_bytes(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     def left(table: pa.Table, bits: pa.Table) -> tuple[_Home, list[np.ndarray], np.ndarray, np.ndarray]:
         home = _Home(table, length)
-        return home, *home.left(home.often | _flags(bits, 0, len(home.values)))
+        return home, *home.left(home.often | (_flags(bits, 0, len(home.values)) > 0))
 
     def ship_strings(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
-        unique = left(table, bits)[2]
-        return _entries(key, unique, unique)
+        return _entries(key, left(table, bits)[2])
 
-    def finish(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
+    def ship_stretches(key: tuple, table: pa.Table, bits: pa.Table) -> pa.Table:
         home, starts, unique, inverse = left(table, bits)
-        # Equal strings got equal answers, so what repeats in another home can leave before the merge.
-        gone = _flags(bits, 1, len(unique))[inverse]
+        elsewhere = (_flags(bits, 1, len(unique)) > 0)[inverse]
+        several = (np.bincount(inverse, minlength=len(unique)) > 1)[inverse]
         bounds = np.cumsum([len(at) for at in starts])[:-1]
-        flat, ends, places = _stretches(home, [at[~known] for at, known in zip(starts, np.split(gone, bounds), strict=True)])
-        gone[~gone] = repeated_intervals(flat, ends, length)[places]
+
+        def chosen(marks: np.ndarray) -> list[np.ndarray]:
+            return [at[m] for at, m in zip(starts, np.split(marks, bounds), strict=True)]
+
+        flat, ends, places = _stretches(home, chosen(several))
+        classes = np.zeros(len(inverse), np.int32)
+        classes[several] = repeated_classes(flat, ends, length)[places]
+        # One string speaks for its class in the other homes; the class itself is settled.
+        speaks, settled = elsewhere & (classes == 0), np.flatnonzero(elsewhere & (classes > 0))
+        speaks[settled[np.unique(classes[settled], return_index=True)[1]]] = True
+        rows = _stretches_of(home, chosen(speaks), _flags(bits, 0, len(home.values)) > 1, buckets)
+        offsets = np.concatenate(([0], np.cumsum([len(p.flat) for p in home.pieces])))
+        own = np.concatenate([at + o for at, o in zip(chosen(classes > 0), offsets, strict=False)])
+        rows.append((-1 - key[0].as_py(), b"", b"", b"", b"", _intervals(own).tobytes()))
+        found = list(zip(*rows, strict=True))
+        return pa.table({
+            "bucket": pa.array(found[0], pa.int64()), "home": pa.array([key[0].as_py()] * len(rows), pa.int64()),
+            **{name: pa.array(values, pa.binary()) for name, values in zip(("anchors", "begins", "sizes", "marks", "bytes"), found[1:], strict=True)},
+        })
+
+    def finish(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("key", "ascending")]))
+        copies, texts = table["n"].to_numpy(), table["text"].combine_chunks()
+        ranges = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in repeated["intervals"].to_pylist()]])
+        firsts, lasts = ranges[::2], ranges[1::2]
+        order = np.argsort(firsts, kind="stable")
+        # No two intervals share a start, so the lasts are in the same order.
+        firsts, lasts = firsts[order], lasts[order] + length
         spans, hashes, counts, sizes, used = [], [], [], [], 0
-        for piece, at, (first_row, _) in zip(home.pieces, starts, home.ranges, strict=True):
-            mine = at[gone[used:used + len(at)]]
-            used += len(at)
-            edge = np.zeros(len(piece.flat) + 1, np.int32)
-            edge[mine] += 1
-            edge[mine + length] -= 1
+        for lo, hi in pieces(texts, _PIECE):
+            flat, bounds = text_bytes(texts.slice(lo, hi - lo))
+            a, b = np.searchsorted(firsts, used), np.searchsorted(firsts, used + len(flat))
+            edge = np.zeros(len(flat) + 1, np.int32)
+            np.add.at(edge, firsts[a:b] - used, 1)
+            np.add.at(edge, lasts[a:b] - used, -1)
+            used += len(flat)
             removed = np.cumsum(edge[:-1]) > 0
-            for row, (a, b) in enumerate(zip(piece.bounds[:-1], piece.bounds[1:], strict=True)):
-                out = removed[a:b] if home.copies[first_row + row] == 1 else np.ones(b - a, bool)
+            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                out = removed[a:b] if copies[lo + row] == 1 else np.ones(b - a, bool)
                 counts.append(int(out.sum()))
                 sizes.append(int(b - a))
                 spans.append(np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0])))).tolist() if counts[-1] else [])
-                hashes.append(hashlib.sha256(piece.flat[a:b][~out].tobytes() if counts[-1] else piece.flat[a:b].tobytes()).hexdigest())
+                hashes.append(hashlib.sha256(flat[a:b][~out].tobytes() if counts[-1] else flat[a:b].tobytes()).hexdigest())
         return pa.table({
-            "key": home.keys.cast(pa.string()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()),
+            "key": table["key"].cast(pa.string()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()),
             "n_spans": pa.array([len(s) // 2 for s in spans], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "kept_sha256": pa.array(hashes, pa.string()),
         })
 
-    anchored = dealt.groupBy("home").applyInArrow(ship_anchors, _SHIPPED).groupBy("bucket").applyInArrow(_judge(0, np.uint32), _BITS)
-    found = dealt.groupBy("home").cogroup(anchored.groupBy("home")).applyInArrow(ship_strings, _SHIPPED).groupBy("bucket").applyInArrow(_judge(1, U64), _BITS)
-    return dealt.groupBy("home").cogroup(anchored.union(found).groupBy("home")).applyInArrow(
+    by_home = dealt.groupBy("home")
+    anchored = by_home.applyInArrow(ship_anchors, _SHIPPED).groupBy("bucket").applyInArrow(_judge(0), _BITS)
+    found = by_home.cogroup(anchored.groupBy("home")).applyInArrow(ship_strings, _SHIPPED).groupBy("bucket").applyInArrow(_judge(1), _BITS)
+    merged = by_home.cogroup(anchored.union(found).groupBy("home")).applyInArrow(ship_stretches, _STRETCHES).groupBy("bucket").applyInArrow(
+        _merge(length), "home long, intervals binary")
+    return by_home.cogroup(merged.groupBy("home")).applyInArrow(
         finish, "key string, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_sha256 string")
 
 
@@ -287,7 +414,7 @@ def _flags(bits: pa.Table, level: int, n: int) -> np.ndarray:
     """The answers of a level in the order the home shipped in, by bucket."""
     mine = bits.filter(pc.equal(bits["level"], level)).sort_by("bucket")
     parts = [np.frombuffer(x, np.uint8) for x in mine["bits"].to_pylist()]
-    return np.concatenate(parts).astype(bool)[:n] if parts else np.zeros(n, bool)
+    return np.concatenate(parts)[:n] if parts else np.zeros(n, np.uint8)
 
 
 def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

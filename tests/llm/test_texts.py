@@ -8,6 +8,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,36 @@ def test_suffix_dedup_with_more_homes_and_buckets(docs, corpus, monkeypatch):
     assert suffixes.suffix_dedup(docs([])).count() == 0
 
 
+def test_suffix_dedup_of_strings_with_equal_hashes(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOME_BYTES", 100)
+    # Thue-Morse strings and their complements collide in every polynomial hash modulo 2^64.
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "!" + " ".join(prose(8, 400))), (4, "?" + " ".join(prose(8, 400)))]
+    got = suffixes.suffix_dedup(docs(rows), length=1024).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_bytes(rows, 1024)
+
+
+@pytest.mark.parametrize("common", [0, 64])
+def test_suffix_merge_between_homes(common):
+    """Homes meet by anchors, also by common ones, in merges as small as can be."""
+    shared, draw = prose(31, 300), random.Random(5)
+    texts = [" ".join(prose(40 + i, 40) + shared[i * 10:i * 10 + 150] + prose(60 + i, draw.randint(5, 40))) for i in range(12)]
+    homes = [suffixes._Home(pa.table({"key": [str(i)], "n": [1], "text": [t]}), 100) for i, t in enumerate(texts)]
+    rows = []
+    for i, home in enumerate(homes):
+        starts = [np.flatnonzero(np.arange(len(p.flat)) + 100 <= p.end) for p in home.pieces]
+        rows += [(i, *r[1:]) for r in suffixes._stretches_of(home, starts, np.full(len(home.values), not common), 1)]
+    names = ["home", "anchors", "begins", "sizes", "marks", "bytes"]
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    found = suffixes._merge(100)((pa.scalar(0),), table)
+    got = {h: np.frombuffer(x, np.int64).reshape(-1, 2) for h, x in zip(found["home"].to_pylist(), found["intervals"].to_pylist(), strict=True)}
+    times = Counter(t.encode()[i:i + 100] for t in texts for i in range(len(t.encode()) - 99))
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        want = [k for k in range(len(raw) - 99) if times[raw[k:k + 100]] > 1]
+        assert [k for a, b in got.get(i, []) for k in range(a, b + 1)] == want and want
+
+
 def test_without_repeats_keeps_columns(docs):
     shared = " ".join(prose(7, 200))
     rows = [(1, "a " + shared, "s"), (2, "b " + shared, "t"), (3, None, "u"), (4, "é", "v")]
