@@ -4,6 +4,8 @@ Both start from the labelled documents. In each round either one labels the unla
 surest of, in the proportion of the labels, and these join the training set of the other. In
 the end both are calibrated on labelled documents that took no part in training, and the calibrated log
 odds are combined by a third fit on the same documents.
+
+The text view sees content and form: words, word pairs and strings of GRAM bytes in hashed slots, and shares of marks and the like.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from benchloom.llm.arrays import SPACED, U64, mix, pieces, words
+from benchloom.llm.arrays import PLAIN, SPACED, U64, mix, pieces, text_bytes, words
 from benchloom.llm.frames import fresh, sample
 from benchloom.storage import cut
 
@@ -30,6 +32,12 @@ THRESHOLD = 0.5
 _SOURCES, _LANGS = 64, 32
 _MARKS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 TEXT_WIDTH = len(_MARKS) + 10
+# Slots of words and pairs, and as many of strings of GRAM bytes; a byte holds the level of one of each, from 0 to 15.
+SLOTS, GRAM = 2048, 5
+_LEVELS = np.minimum(np.round(3 * np.log1p(np.arange(256))), 15).astype(np.uint8)
+# Length of each content row before its fit with a penalty of 1.
+_GAIN = 4.0
+_PIECE_ROWS = 128
 
 
 def text_features(column: pa.Array) -> np.ndarray:
@@ -67,6 +75,35 @@ def text_features(column: pa.Array) -> np.ndarray:
     return out
 
 
+def content_features(column: pa.Array) -> np.ndarray:
+    """Levels of the slots of words and pairs (low halves of the bytes) and of strings of GRAM bytes (high halves)."""
+    out = np.zeros((len(column), SLOTS), np.uint8)
+    for lo, hi in pieces(column, rows=_PIECE_ROWS):
+        part = column.slice(lo, hi - lo)
+        found = words(part, PLAIN)
+        n = hi - lo
+        row = found.text_of()
+        pair_at, pairs = found.windows(2)
+        at = np.concatenate((row, row[pair_at])) * SLOTS + (np.concatenate((mix(found.hashes), pairs)) % U64(SLOTS)).astype(np.int64)
+        level = _LEVELS[np.minimum(np.bincount(at, minlength=n * SLOTS), 255)]
+        flat, bounds = text_bytes(part)
+        last = max(len(flat) - GRAM + 1, 0)
+        rolled = np.zeros(last, U64)
+        for k in range(GRAM):
+            rolled = rolled * U64(257) + PLAIN.written[flat[k:last + k]]
+        row = np.repeat(np.arange(n), np.diff(bounds))
+        inside = row[:last] == row[GRAM - 1:GRAM - 1 + last]
+        at = row[:last][inside] * SLOTS + (mix(rolled[inside]) % U64(SLOTS)).astype(np.int64)
+        level |= _LEVELS[np.minimum(np.bincount(at, minlength=n * SLOTS), 255)] << 4
+        out[lo:hi] = level.reshape(n, SLOTS)
+    return out
+
+
+def text_rows(column: pa.Array) -> np.ndarray:
+    """The text view of each text as bytes: form, then content."""
+    return np.concatenate((text_features(column).view(np.uint8), content_features(column)), axis=1)
+
+
 def metadata_features(source: str, lang: str, n_chars: str) -> list[Column]:
     """Slots of source and language, and the logarithm of the stated length; NULLs have slots of their own."""
     size = F.coalesce(F.col(n_chars).cast("double"), F.lit(0.0)) if n_chars else F.lit(0.0)
@@ -115,9 +152,94 @@ def logistic(rows: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return Logistic(mean, spread, w[:-1], float(w[-1]))
 
 
+_AT_ONCE = 1024
+
+
+def _form(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :TEXT_WIDTH * 4]).view(np.float32)
+
+
+class _Content:
+    """The content of some text rows as a matrix of unit rows, unpacked a few rows at a time."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.packed = rows[:, TEXT_WIDTH * 4:]
+        self.inverse = np.concatenate([self._norms(b) for _, b in self._blocks()]) if len(rows) else np.zeros((0, 2), np.float32)
+
+    def _blocks(self) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        for a in range(0, len(self.packed), _AT_ONCE):
+            part = self.packed[a:a + _AT_ONCE]
+            yield a, ((part & 15).astype(np.float32), (part >> 4).astype(np.float32))
+
+    @staticmethod
+    def _norms(halves: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.column_stack([_GAIN / np.sqrt(np.maximum(np.einsum("ij,ij->i", h, h), 1)) for h in halves]).astype(np.float32)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out, halves = np.zeros(len(self.packed)), w.astype(np.float32).reshape(2, SLOTS)
+        for a, block in self._blocks():
+            out[a:a + _AT_ONCE] = sum((h @ v) * self.inverse[a:a + _AT_ONCE, k] for k, (h, v) in enumerate(zip(block, halves, strict=True)))
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        out = np.zeros((2, SLOTS))
+        for a, block in self._blocks():
+            for k, h in enumerate(block):
+                out[k] += (r[a:a + _AT_ONCE] * self.inverse[a:a + _AT_ONCE, k]).astype(np.float32) @ h
+        return out.ravel()
+
+
+@dataclass
+class TextLogistic:
+    form: Logistic
+    content: np.ndarray
+
+    def margin(self, rows: np.ndarray) -> np.ndarray:
+        return self.form.margin(_form(rows)) + _Content(rows).times(self.content)
+
+
+def text_logistic(rows: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 6, inner: int = 8) -> TextLogistic:
+    """Ridge logistic regression on form and content, by Newton steps that conjugate gradients solve."""
+    form, content = _form(rows), _Content(rows)
+    mean, spread = form.mean(axis=0), form.std(axis=0) + 1e-3
+    x = np.column_stack(((form - mean) / spread, np.ones(len(rows))))
+    k = x.shape[1]
+    penalty = np.concatenate((np.full(k, ridge * len(rows)), np.ones(2 * SLOTS)))
+    penalty[k - 1] = 1e-6
+    # From what form alone gives.
+    start = logistic(form, y, ridge)
+    w = np.concatenate((start.weights, [start.bias], np.zeros(2 * SLOTS)))
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return x @ v[:k] + content.times(v[k:])
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate((x.T @ r, content.back(r)))
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        weight = p * (1 - p) + 1e-6
+        left = -(back(p - y) + penalty * w)
+        scale = np.concatenate(((x * x).T @ weight, np.full(2 * SLOTS, _GAIN**2 * weight.sum() / SLOTS))) + penalty
+        step, toward = np.zeros_like(w), left / scale
+        now = float(left @ toward)
+        for _ in range(inner):
+            if now < 1e-10:
+                break
+            bent = back(weight * times(toward)) + penalty * toward
+            size = now / float(toward @ bent)
+            step += size * toward
+            left = left - size * bent
+            ready = left / scale
+            before, now = now, float(left @ ready)
+            toward = ready + now / before * toward
+        w += np.clip(step, -5, 5)
+    return TextLogistic(Logistic(mean, spread, w[:k - 1], float(w[k - 1])), w[k:])
+
+
 @dataclass
 class QualityModel:
-    text: Logistic
+    text: Logistic | TextLogistic
     page: Logistic
     text_scale: Logistic
     page_scale: Logistic
@@ -146,7 +268,9 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, more_text: np.nd
         rows, pool = views[view]
         extra = np.array(sorted(given[view]), dtype=int)
         labels = np.array([given[view][i] for i in extra])
-        return logistic(np.concatenate((rows[train], pool[extra])), np.concatenate((y[train], labels)))
+        # Text rows come as bytes.
+        learn = text_logistic if rows.dtype == np.uint8 else logistic
+        return learn(np.concatenate((rows[train], pool[extra])), np.concatenate((y[train], labels)))
 
     held = check if check.any() else train
     models = [fitted(0), fitted(1)]
@@ -179,7 +303,7 @@ def _featured(rows: DataFrame, keep: str) -> DataFrame:
         for whole in batches:
             for lo, hi in pieces(whole.column("text"), rows=_ROWS):
                 batch = whole.slice(lo, hi - lo)
-                found = text_features(batch.column("text"))
+                found = text_rows(batch.column("text"))
                 arrays = [batch.column(c) for c in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in found], pa.binary()), *arrays], names=["v", *batch.schema.names[1:]])
 
@@ -187,7 +311,9 @@ def _featured(rows: DataFrame, keep: str) -> DataFrame:
 
 
 def _arrays(table: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([np.frombuffer(v, np.float32) for v in table["v"]]).reshape(len(table), TEXT_WIDTH)
+    text = np.empty((len(table), TEXT_WIDTH * 4 + SLOTS), np.uint8)
+    for i, v in enumerate(table["v"]):
+        text[i] = np.frombuffer(v, np.uint8)
     return text, _metadata(table["m_source"].to_numpy(), table["m_lang"].to_numpy(), table["m_size"].to_numpy())
 
 
@@ -238,7 +364,7 @@ def score(
             for lo, hi in pieces(whole.column(text), rows=_ROWS):
                 batch = whole.slice(lo, hi - lo)
                 page = _metadata(*[batch.column(batch.schema.get_field_index(e)).to_numpy(zero_copy_only=False) for e in extra])
-                found = known.value.views(text_features(batch.column(batch.schema.get_field_index(text))), page)
+                found = known.value.views(text_rows(batch.column(batch.schema.get_field_index(text))), page)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v.astype(np.float64)) for v in found]], names=[*batch.schema.names, *names])
 
     return marked.mapInArrow(scored, schema).drop(*extra)

@@ -136,6 +136,19 @@ def test_toxicity_finds_held_out_words(spark):
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
 
 
+def test_quality_of_texts_that_differ_in_words_alone(spark):
+    """Words of one length without marks, and the same metadata: form tells nothing."""
+    draw = random.Random(3)
+    common = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    good, bad = (["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(40)] for _ in range(2))
+    rows = [(k, " ".join(draw.choice((good, bad)[k % 2] if i % 4 == 0 else common) for i in range(60)), "s", "en", 419, 1 - k % 2) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, quality int")
+    model = quality.fit(docs.where("doc_id < 600").drop("quality"), docs.select("doc_id", "quality"))
+    held = quality.score(docs.where("doc_id >= 600"), model).agg(
+        F.avg(((F.col("text_score") >= 0.5) == (F.col("quality") == 1)).cast("int")), F.avg(((F.col("score") >= 0.5) == (F.col("quality") == 1)).cast("int"))).first()
+    assert min(held) > 0.9
+
+
 def test_quality_held_out_accuracy(spark, tables):
     docs = odd_rows(spark, tables["documents"])
     model = quality.fit(docs.where(~held_out()), tables["labels"])
