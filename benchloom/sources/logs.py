@@ -11,15 +11,17 @@ def decoded(path: Column) -> Column:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their run, from `<run>.log` files or folders anywhere below `path`.
+    """Log lines with their benchmark and run, from `<run>.log` files or folders anywhere below `path`.
 
+    The benchmark is the name of the folder that a log lies in, as run ids repeat between benchmarks.
     Runs come back as `write_logs` got them: folders that Spark named have their escapes undone.
     """
     file = decoded(F.col("_metadata.file_path"))
     run = F.regexp_extract(file, r"([^/=]+)\.log(?:/|$)", 1)
+    benchmark = F.regexp_extract(file, r"([^/]+)/(?:log=)?[^/=]+\.log(?:/|$)", 1)
     return (
         spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
-        .select(F.when(file.rlike(r"/log=[^/]+\.log/"), decoded(run)).otherwise(run).alias("run"), "value")
+        .select(benchmark.alias("benchmark"), F.when(file.rlike(r"/log=[^/]+\.log/"), decoded(run)).otherwise(run).alias("run"), "value")
     )
 
 

@@ -30,6 +30,17 @@ def test_check_and_failed_lines(spark, lookup_size):
     assert failed == sorted([r for r in log.collect() if r.run in (2, 3, None)], key=str)
 
 
+def test_runs_of_one_id_in_two_benchmarks(spark, tmp_path, lookup_size):
+    for name, lines in (("PageRank", "start\nPi is roughly 3.14\n"), ("SVM", "start\nerror\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1449790894.log").write_text(lines)
+    log = read_logs(spark, str(tmp_path))
+    assert {(r.benchmark, r.run): r.ok for r in logs.check_logs(log, "Pi is roughly 3.").collect()} == {
+        ("PageRank", "1449790894"): True, ("SVM", "1449790894"): False}
+    failed = logs.failed_lines(log, "Pi is roughly 3.")
+    assert failed.columns == log.columns and sorted((r.benchmark, r.value) for r in failed.collect()) == [("SVM", "error"), ("SVM", "start")]
+
+
 def test_job_history_and_active(spark):
     t0, t1 = datetime(2020, 1, 1), datetime(2020, 1, 1, 0, 1)
     starts = spark.createDataFrame([(1, t0), (2, t0)], "job_id long, start_ts timestamp")
