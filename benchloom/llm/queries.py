@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, mixing, near, quality, repeats, suffixes, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, mixing, near, phrases, quality, repeats, suffixes, topk, toxicity, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -165,3 +165,46 @@ FROM split LEFT JOIN counted USING (doc_id)
 @registry.query(REPEATS_SQL)
 def op10_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repeats(load(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT row_number() OVER () AS piece_id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents)
+), followed AS (
+    SELECT lang, w, lead(w) OVER piece AS w2, lead(w, 2) OVER piece AS w3
+    FROM (SELECT lang, piece_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces)
+    WINDOW piece AS (PARTITION BY piece_id ORDER BY i)
+), counted AS (
+    SELECT lang, 1 AS m, w AS phrase, count(*) AS f FROM followed GROUP BY ALL
+    UNION ALL SELECT lang, 2, w || ' ' || w2, count(*) FROM followed WHERE w2 IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM followed WHERE w3 IS NOT NULL GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE m = 1 GROUP BY lang
+), found AS (
+    SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1 AND f >= 10
+), cuts AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+           CAST(1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM (SELECT *, lang || chr(9) || array_to_string(w[1:k], ' ') AS head, lang || chr(9) || array_to_string(w[k + 1:], ' ') AS tail
+          FROM found, unnest(range(1, m)) AS r(k)) c
+    JOIN counted x ON x.lang || chr(9) || x.phrase = head JOIN counted y ON y.lang || chr(9) || y.phrase = tail
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+    SELECT lang, phrase, max(a) AS holder
+    FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM found WHERE m = 3) GROUP BY ALL
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN held USING (lang, phrase) JOIN totals USING (lang)
+WHERE holder IS NULL OR 100 * holder < 50 * a
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
+@registry.query(COLLOCATIONS_SQL)
+def op11_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.collocations(load(spark, d, "documents").select("lang", "text"))
