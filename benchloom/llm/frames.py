@@ -15,9 +15,9 @@ def fresh(name: str, *taken: list[str]) -> str:
     return name
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """Whether a document is kept from learning: crc32 of its id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def held_out(doc_id: str = "doc_id", of: int = 4) -> Column:
+    """Whether a document is kept from learning: crc32 of its id as text leaves 2 when divided by `of`."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == 2, F.lit(False))
 
 
 def parts_for(total: float, each: float) -> int:
