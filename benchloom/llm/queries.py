@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from benchloom.llm import decontaminate, language, lm, mixing, near, phrases, quality, repeats, suffixes, topk, toxicity, warc
+from benchloom.llm import decontaminate, language, lm, mixing, near, phrases, quality, repeats, suffixes, topk, toxicity, trie, warc
 from benchloom.llm.frames import held_out
 from benchloom.plans.registry import Registry
 from benchloom.sources.tables import load
@@ -215,3 +215,8 @@ def op13_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", "text")
     model = lm.fit(docs.where(~held_out(of=7)))
     return lm.score(docs, model, ["doc_id"]).withColumn("held_out", held_out(of=7))
+
+
+@registry.query()
+def op12_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.prefix_trie(load(spark, d, "conversations").select("conv_id", "turn", "role", "text"), graft=True)
