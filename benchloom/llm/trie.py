@@ -236,8 +236,12 @@ def _shard_nodes(table: pa.Table, above: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _tier_nodes(sequences: DataFrame, tier: int, segment: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the sequences of one tier, and (prefix, children, leaves, saved) of its roots."""
+def _tier_nodes(sequences: DataFrame, tier: int, ahead: DataFrame, segment: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the sequences of one tier, and (prefix, children, leaves, saved) of its roots.
+
+    Below the first tier a root is a node of the tier before, some of whose members may end there: `ahead` has its
+    smallest (tier, prefix, before_id).
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -267,6 +271,9 @@ def _tier_nodes(sequences: DataFrame, tier: int, segment: int, scratch: Scratch)
     )
     out = ["prefix", "digest", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "n_end"]
     parents = merged.select("prefix", F.col("digest").alias("parent_digest"), F.col("conv_id").alias("parent_conv_id"))
+    if tier:
+        earlier = ahead.where(F.col("tier") == tier).select("prefix", F.lit(EMPTY_SHA256).alias("parent_digest"), "before_id")
+        parents = parents.join(earlier, ["prefix", "parent_digest"], "left").withColumn("parent_conv_id", F.coalesce("before_id", "parent_conv_id")).drop("before_id")
     done = nodes.where(~F.col("upper") & F.col("parent_digest").isNull()).select(out)
     under = nodes.where(~F.col("upper") & F.col("parent_digest").isNotNull()).drop("parent_conv_id").join(parents, ["prefix", "parent_digest"]).select(out)
     top = merged if tier == 0 else merged.where(F.col("digest") != EMPTY_SHA256)
@@ -376,6 +383,10 @@ def trie_nodes(turns: DataFrame, members: DataFrame, segment: int = SEGMENT) ->
         groups = scratch.cut(rows.where("tier > 0").groupBy("tier", "prefix").agg(F.count("*").alias("n_group")), "groups")
         shared = groups.where("n_group > 1").select("tier", "prefix")
         deepest = shared.agg(F.coalesce(F.max("tier"), F.lit(0))).first()[0]
+        # Members of the nodes between two tiers, those that end there too.
+        ahead = scratch.cut(
+            rows.where(F.size("path") == segment).groupBy((F.col("tier") + 1).alias("tier"), F.col("next").alias("prefix")).agg(F.min("conv_id").alias("before_id")), "ahead",
+        )
         parts, roots = [], None
         for tier in range(deepest, -1, -1):
             here = rows.where(F.col("tier") == tier)
@@ -393,13 +404,12 @@ def trie_nodes(turns: DataFrame, members: DataFrame, segment: int = SEGMENT) ->
                 "next_children": F.coalesce("next_children", goes_on), "next_leaves": F.coalesce("next_leaves", goes_on),
                 "next_saved": F.coalesce("next_saved", F.lit(0).cast("long")),
             }), "sequences")
-            nodes, roots = _tier_nodes(sequences, tier, segment, scratch)
+            nodes, roots = _tier_nodes(sequences, tier, ahead, segment, scratch)
             parts.append(nodes)
         nodes = parts[0]
         for more in parts[1:]:
             nodes = nodes.unionByName(more)
         # Chains: segments of one conversation alone. The node before may have other members.
-        ahead = rows.where(F.size("path") == segment).groupBy((F.col("tier") + 1).alias("tier"), F.col("next").alias("prefix")).agg(F.min("conv_id").alias("before_id"))
         chains = rows.join(groups.where("n_group = 1").select("tier", "prefix"), ["tier", "prefix"]).join(ahead, ["tier", "prefix"])
         at_last = F.col("k") == F.size("path")
         ended = (at_last & (F.col("n_end") == 1)).cast("long")
