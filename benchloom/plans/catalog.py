@@ -11,3 +11,6 @@ ALL = Registry().merge(
     sql_plans.registry, record_plans.registry, history_plans.registry, graph_plans.registry,
     rating_plans.registry, classify_plans.registry, stream_plans.registry,
 )
+
+# Those of this catalog alone, whatever is merged into it later.
+CORE = frozenset(ALL.queries)
