@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from benchloom.functions.columns import uniform
 from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, sliced_join, with_salt
@@ -13,6 +13,9 @@ from benchloom.storage import cut
 # Random edges that are drawn from one array at a time.
 BLOCK = 10_000
 
+# Most targets of a vertex in one row.
+BLOCK_TARGETS = 1024
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair of neighbours once, smaller id first, without self-loops."""
@@ -34,38 +37,87 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Number of triangles at each vertex that has one, whatever the direction of the edges.
-
-    Edges point from the lower to the higher (degree, id). Then no vertex points to more than
-    sqrt(2 * edges) others, however many neighbours it has, which bounds the neighbour lists
-    below. A triangle is found once, as a common target of both ends of one of its edges.
-    """
-    pairs = cut(undirected(edges), "pairs")
-    size = cut(degrees(pairs).select("id", "degree"), "degrees")
+def _pointed(pairs: DataFrame, size: DataFrame) -> DataFrame:
+    """Each pair from its end of lower (degree, id) to the other."""
     sides = pairs
     for end, other in (("src", "dst"), ("dst", "src")):
         order = size.select(F.col("id").alias(end), F.col("degree").alias("n"),
                             F.struct("degree", "id").alias(f"{end}_order"))
         sides = lookup_join(sides, order, end, [other])
     up = F.col("src_order") < F.col("dst_order")
-    pointed = sides.select(
+    return sides.select(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("low"),
         F.when(up, F.col("dst")).otherwise(F.col("src")).alias("high"),
     )
-    targets = cut(pointed.groupBy("low").agg(F.collect_list("high").alias("targets")), "targets")
-    pulls = targets.select("low", F.explode("targets").alias("high"), "targets")
-    # A vertex that many point to is looked up by all of them, so it is hot by in-degree.
-    # No broadcast: the size of a neighbour list is not fixed.
-    pull_counts = cut(pulls.groupBy("high").agg(F.count("*").alias("n")), "pulls")
-    common = sliced_join(
-        pulls, targets.select(F.col("low").alias("high"), F.col("targets").alias("high_targets")),
-        "high", hot_keys(pull_counts, "high"), ["low"],
-    ).select("low", "high", F.array_intersect("targets", "high_targets").alias("apex"))
+
+
+def _buckets(reach: str) -> Column:
+    """Buckets of a vertex with so many targets: a power of two, half a block of targets in each at most in the mean."""
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col(reach) / BLOCK_TARGETS)))
+    return F.pow(F.lit(2), bits).cast("long")
+
+
+def _bucket(target: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(target), buckets)
+
+
+def adjacency_blocks(pointed: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Targets of every vertex in rows (low, bucket, chunk, targets) of at most `BLOCK_TARGETS`.
+
+    A vertex has one or more buckets of targets, as `_buckets` says; a bucket that got more than a block is cut into chunks.
+    """
+    known = vertices.select(F.col("id").alias("low"), "buckets", F.col("reach").alias("n"))
+    placed = lookup_join(pointed, known, "low", ["high"]).withColumn("bucket", _bucket(F.col("high"), F.col("buckets")))
+    order = Window.partitionBy("low", "bucket").orderBy("high")
+    chunk = F.floor((F.row_number().over(order) - 1) / BLOCK_TARGETS)
+    return placed.withColumn("chunk", chunk).groupBy("low", "bucket", "chunk").agg(F.collect_list("high").alias("targets"))
+
+
+def _split(targets: str, bucket: str, buckets: str, to_buckets: str) -> Column:
+    """A block's targets by the buckets of a vertex with as many or more of them."""
+    def part(i: Column) -> Column:
+        at = F.col(bucket) + i * F.col(buckets)
+        return F.struct(at.alias("bucket"), F.filter(targets, lambda t: _bucket(t, F.col(to_buckets)) == at).alias("sent"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.floor(F.col(to_buckets) / F.col(buckets)) - 1), part)
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """Number of triangles at each vertex that has one, whatever the direction of the edges.
+
+    Edges point from the lower to the higher (degree, id). A triangle is found once, as a common
+    target of both ends of one of its edges. Targets lie in blocks of bounded size; of the two ends of an
+    edge, that with fewer targets sends each of them to the one block of the other where it may be. So an edge sends
+    the shorter list once, no row holds more than a block, and a vertex of very many targets or
+    edges is spread over its blocks, and over slices of these.
+    """
+    pairs = cut(undirected(edges), "pairs")
+    size = cut(degrees(pairs).select("id", "degree"), "degrees")
+    pointed = cut(_pointed(pairs, size), "pointed")
+    reach = pointed.groupBy(F.col("low").alias("id")).agg(F.count("*").alias("reach"))
+    # A vertex without targets has part in triangles as the last corner only.
+    vertices = cut(size.join(reach, "id").withColumn("buckets", _buckets("reach")), "reaches")
+    blocks = cut(adjacency_blocks(pointed, vertices), "blocks")
+    both = pointed
+    for end, other in (("low", "high"), ("high", "low")):
+        known = vertices.select(F.col("id").alias(end), F.col("degree").alias("n"), F.col("reach").alias(f"{end}_reach"), F.col("buckets").alias(f"{end}_buckets"))
+        both = lookup_join(both, known, end, [other])
+    up = F.col("low_reach") <= F.col("high_reach")
+    pulls = cut(both.select(
+        *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (
+            ("low", "high", "from"), ("high", "low", "to"), ("low_buckets", "high_buckets", "from_buckets"), ("high_buckets", "low_buckets", "to_buckets"))],
+    ), "pulls")
+    hot = {c: hot_keys(cut(pulls.groupBy(c).agg(F.count("*").alias("n")), f"{c}-counts"), c) for c in ("from", "to")}
+    sent = sliced_join(pulls, blocks.select(F.col("low").alias("from"), "bucket", "targets"), "from", hot["from"], ["to"])
+    sent = sent.select("from", "to", F.inline(_split("targets", "bucket", "from_buckets", "to_buckets"))).where(F.size("sent") > 0)
+    held = blocks.select(F.col("low").alias("to"), "bucket", "targets")
+    common = with_salt(sent, "to", hot["to"], ["from"], "_slice").join(
+        per_salt(held, "to", hot["to"], "_slice"), ["to", "bucket", "_slice"],
+    ).select("from", "to", F.array_intersect("sent", "targets").alias("apex"))
     found = F.size("apex").cast("long")
     corners = F.concat(
-        F.array(F.struct(F.col("low").alias("id"), found.alias("n")),
-                F.struct(F.col("high").alias("id"), found.alias("n"))),
+        F.array(F.struct(F.col("from").alias("id"), found.alias("n")),
+                F.struct(F.col("to").alias("id"), found.alias("n"))),
         F.transform("apex", lambda a: F.struct(a.alias("id"), F.lit(1).cast("long").alias("n"))),
     )
     return (

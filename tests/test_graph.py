@@ -70,6 +70,29 @@ def test_triangles_with_a_hub_equal_brute_force(spark, lookup_size, no_auto_broa
     assert flipped == got
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_triangles_in_small_blocks(spark, monkeypatch, no_auto_broadcast, lookup_size, block):
+    """A clique beside a hub: vertices with many blocks meet others with few."""
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", block)
+    pairs = hub_graph(3) + list(combinations(range(100, 130), 2)) + [(0, v) for v in range(100, 130)]
+    got = {r.id: r.triangles for r in graph.triangles(edges_of(spark, pairs)).collect()}
+    assert got == brute_triangles(pairs)
+
+
+def test_no_block_is_larger_and_a_vertex_of_a_clique_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_TARGETS", 8)
+    pointed = spark.createDataFrame(list(combinations(range(200), 2)), "low long, high long")
+    reach = pointed.groupBy(F.col("low").alias("id")).agg(F.count("*").alias("reach"))
+    blocks = graph.adjacency_blocks(pointed, reach.withColumn("buckets", graph._buckets("reach"))).cache()
+    assert blocks.agg(F.max(F.size("targets"))).first()[0] <= 8
+    assert blocks.select("low", F.explode("targets").alias("high")).exceptAll(pointed).isEmpty()
+    assert blocks.agg(F.sum(F.size("targets"))).first()[0] == pointed.count()
+    # The vertex with most targets lies in all of the shuffle's partitions.
+    first = blocks.where("low = 0").repartition(4, "low", "bucket").select(F.spark_partition_id().alias("p")).distinct()
+    assert first.count() == 4
+    blocks.unpersist()
+
+
 def test_rank_of_a_two_cycle_stays_one(spark):
     ranks = graph.pagerank(edges_of(spark, [(1, 2), (2, 1)]), 3).collect()
     assert [round(r["rank"], 12) for r in ranks] == [1.0, 1.0]
