@@ -95,3 +95,11 @@ def labelled_text(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(labels, "doc_id").select(
         "doc_id", "text", F.col("quality").cast("double").alias("label")
     )
+
+
+def text_form(documents: DataFrame) -> DataFrame:
+    """Length of each text on a logarithmic scale, and the share of spaces in it; a NULL text is empty."""
+    text = F.coalesce("text", F.lit(""))
+    size = F.length(text)
+    gaps = size - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return documents.select("doc_id", F.log(1.0 + size).alias("size"), (gaps / (1.0 + size)).alias("gaps"))
