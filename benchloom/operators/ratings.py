@@ -8,6 +8,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from benchloom.functions.columns import uniform
+from benchloom.operators.recommend import top_items
 from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, with_salt
 from benchloom.storage import cut, work_dir
 
@@ -17,7 +18,11 @@ def _mean_by(ratings: DataFrame, key: str) -> DataFrame:
 
 
 def bias_baseline(ratings: DataFrame) -> DataFrame:
-    """Each rating with mu + b_u + b_i, where a bias is the mean of its user or item less mu."""
+    """Each rating with mu + b_u + b_i, where a bias is the mean of its user or item less mu.
+
+    A rating with a NULL id or value has no part in any mean and is left out.
+    """
+    ratings = ratings.dropna(subset=["user", "item", "rating"])
     mu = ratings.agg(F.avg("rating")).scalar()
     rows = ratings
     for key, other in (("user", "item"), ("item", "user")):
@@ -33,9 +38,6 @@ START = 0.5
 # Ratings that one block of ALS holds, so that its tasks grow in number with the data and not in size.
 RATINGS_PER_BLOCK = 1_000_000
 
-# ALS takes ids of this range only.
-MAX_ALS_ID = 2**31 - 1
-
 
 def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
     """Every id of a column with its count and a number, 0 and up without gaps.
@@ -44,8 +46,9 @@ def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
     them; no sort and no single task over all ids.
     """
     position = F.monotonically_increasing_id()  # partition number in the upper 31 bits
+    # Sorted, so that the numbers do not depend on the order in which rows arrive.
     placed = cut(
-        ratings.groupBy(key).agg(F.count("*").alias("n")).withColumn("place", position), f"{key}-ids"
+        ratings.groupBy(key).agg(F.count("*").alias("n")).sortWithinPartitions(key).withColumn("place", position), f"{key}-ids"
     )
     part = F.shiftright("place", 33)
     # One row per partition.
@@ -61,15 +64,12 @@ def _dense_ids(ratings: DataFrame, key: str) -> DataFrame:
 
 
 class Als:
-    """Fitted ALS model, with the numbering of ids that do not fit its integers."""
+    """Fitted ALS model, with the numbers that its users and items have in it."""
 
-    def __init__(self, users: DataFrame | None = None, items: DataFrame | None = None):
-        self.model: ALSModel | None = None
-        self.users, self.items = users, items
+    def __init__(self, users: DataFrame, items: DataFrame, model: ALSModel | None = None):
+        self.users, self.items, self.model = users, items, model
 
     def numbered(self, pairs: DataFrame) -> DataFrame:
-        if self.users is None:
-            return pairs.withColumns({"user_number": F.col("user"), "item_number": F.col("item")})
         pairs = lookup_join(pairs, self.users, "user", ["item"])
         return lookup_join(pairs, self.items, "item", ["user"])
 
@@ -77,17 +77,26 @@ class Als:
         """Estimated rating of each (user, item) pair the model knows both ends of."""
         return self.model.transform(self.numbered(pairs)).drop("user_number", "item_number")
 
+    def recommend(self, users: DataFrame, k: int) -> DataFrame:
+        """The k items of highest estimate for each of the `users` that the model knows: (user, place, item, score, n_blocks)."""
+        asked = self.users.join(users.select("user").distinct(), "user", "left_semi")
+        rows = asked.join(self.model.userFactors, F.col("user_number") == F.col("id")).select("user", F.col("features").alias("factors"))
+        items = self.items.join(self.model.itemFactors, F.col("item_number") == F.col("id")).select("item", F.col("features").alias("factors"))
+        return top_items(rows, items, k)
+
 
 def fit_als(ratings: DataFrame, rank: int = 10, iters: int = 10, reg: float = 0.1, seed: int = 42) -> Als:
-    """Matrix factorization by alternating least squares."""
+    """Matrix factorization by alternating least squares. ALS takes 32-bit ids, so users and items are numbered.
+
+    Ratings with a NULL id or value are left out; without any others there is an error.
+    """
     work_dir(ratings.sparkSession)  # ALS cuts its lineage in the checkpoint folder
-    spans = [f(c) for c in ("user", "item") for f in (F.min, F.max)]
-    low_user, high_user, low_item, high_item, n_ratings = ratings.agg(*spans, F.count(F.lit(1))).first()
-    if low_user is None or low_item is None:
+    ratings = ratings.dropna(subset=["user", "item", "rating"])
+    n_ratings = ratings.count()
+    if not n_ratings:
         raise ValueError("ratings without users and items cannot be fitted")
     blocks = max(10, math.ceil(n_ratings / RATINGS_PER_BLOCK))
-    fits = min(low_user, low_item) >= 0 and max(high_user, high_item) <= MAX_ALS_ID
-    fitted = Als() if fits else Als(_dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
+    fitted = Als(_dense_ids(ratings, "user"), _dense_ids(ratings, "item"))
     als = ALS(
         userCol="user_number", itemCol="item_number", ratingCol="rating", rank=rank, maxIter=iters,
         regParam=reg, seed=seed, coldStartStrategy="drop", numUserBlocks=blocks, numItemBlocks=blocks,
@@ -123,6 +132,16 @@ class SvdPlusPlus:
         names = ["user", "item", *(["rating"] if "rating" in pairs.columns else [])]
         return pairs.select(*names, self.estimate().alias("prediction"))
 
+    def recommend(self, users: DataFrame, k: int) -> DataFrame:
+        """The k items of highest estimate, not held within bounds, for each of the `users` that the model knows."""
+        asked = self.users.join(users.select("user").distinct(), "user", "left_semi")
+        factors = F.array(*_columns("pz", self.rank), F.lit(1.0))
+        rows = asked.select("user", factors.alias("factors"))
+        items = self.items.select("item", F.array(*_columns("q", self.rank), F.col("b_i")).alias("factors"))
+        best = top_items(rows, items, k)
+        with_bias = best.join(asked.select("user", "b_u"), "user")
+        return with_bias.withColumn("score", F.col("score") + F.col("b_u") + self.mean).select(best.columns)
+
 
 def _columns(letter: str, rank: int) -> list[str]:
     return [f"{letter}{k}" for k in range(rank)]
