@@ -113,13 +113,13 @@ class DoubleArray:
         """A base under which all places are free, in the gaps so far if there is one in sight."""
         self._reach(self.top + int(codes[-1]) + 1)
         if len(codes) <= _FEW:
-            free = np.flatnonzero(self.check[self.low:self.low + _GAPS] == -1) + self.low
-            if len(free) < _GAPS // 16:
-                self.low += _GAPS
-            free = free[(free > codes[0]) & (free < self.top)]
-            fits = (self.check[free[:, None] - codes[0] + codes[None, :]] == -1).all(axis=1)
-            if fits.any():
-                return int(free[fits.argmax()] - codes[0])
+            for at in range(self.low, min(self.low + 16 * _GAPS, self.top), _GAPS):
+                free = np.flatnonzero(self.check[at:min(at + _GAPS, self.top)] == -1) + at
+                if at == self.low and len(free) < _GAPS // 16:
+                    self.low += _GAPS
+                fits = (self.check[free[:, None] - codes[0] + codes[None, :]] == -1).all(axis=1)
+                if fits.any():
+                    return int(free[fits.argmax()] - codes[0])
         return int(self.top - codes[0])
 
     def add(self, states: np.ndarray, codes: np.ndarray) -> None:
@@ -142,6 +142,7 @@ class DoubleArray:
     def step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The child of each state by its code, -1 if it has none."""
         at = self.base[states] + codes
+        # A base may be below zero.
         inside = (at >= 0) & (at < len(self.check))
         return np.where(inside & (self.check[np.where(inside, at, 0)] == states), at, -1)
 
@@ -160,8 +161,17 @@ def _packed(roots: np.ndarray, codes: np.ndarray, first: np.ndarray, lengths: np
     return trie
 
 
+def _dense(turns: pa.Array, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Numbers of the turns from 1, by depth and then by sequence: children of one node get near numbers, which pack well."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((row, np.arange(len(row)) - first[row]))
+    codes = np.empty(len(row), dtype=np.int64)
+    codes[order] = turns.take(pa.array(order)).dictionary_encode().indices.to_numpy()
+    return codes + 1
+
+
 def _shard_nodes(table: pa.Table, above: int) -> pa.RecordBatch:
-    """Nodes of a shard of sequences. `above` is the depth of its roots."""
+    """Nodes of a shard of sequences, in order of prefix and path. `above` is the depth of its roots."""
     prefix = table["prefix"].combine_chunks().dictionary_encode()
     roots = prefix.indices.to_numpy().astype(np.int64)
     n_roots = len(prefix.dictionary)
@@ -169,7 +179,7 @@ def _shard_nodes(table: pa.Table, above: int) -> pa.RecordBatch:
     lengths = paths.value_lengths().to_numpy().astype(np.int64)
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     turns = paths.flatten()
-    codes = turns.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    codes = _dense(turns, first, lengths)
     words = table["words"].combine_chunks().flatten().to_numpy()
     n, ids, n_end = (table[c].to_numpy() for c in ("n", "first_id", "n_end"))
     trie = _packed(roots, codes, first, lengths)
@@ -178,12 +188,8 @@ def _shard_nodes(table: pa.Table, above: int) -> pa.RecordBatch:
     conv = np.full(size, np.iinfo(np.int64).max)
     below = {c: np.zeros(size, dtype=np.int64) for c in ("children", "leaves", "saved")}
     upper, alive = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
-    # The first and the last sequence of the shard; what lies on their way may be in other shards.
-    names, listed = table["prefix"].to_pylist(), paths
-    keyed = [(names[i], i) for i in range(len(names))]
-    edge = {names_at: [i for p, i in keyed if p == names_at] for names_at in {min(names), max(names)}}
-    low = min(edge[min(names)], key=lambda i: listed[i].as_py())
-    high = max(edge[max(names)], key=lambda i: listed[i].as_py())
+    # What lies on the way to the first and the last sequence of the shard may be in other shards too.
+    low, high = 0, len(lengths) - 1
     state, digest = roots.copy(), {}
     for at in range(int(lengths.max(initial=0)) + 1):
         has = np.flatnonzero(lengths >= at)
@@ -249,7 +255,7 @@ def _tier_nodes(sequences: DataFrame, tier: int, ahead: DataFrame, segment: int,
             yield _shard_nodes(pa.Table.from_batches(held), tier * segment)
 
     parts = parts_for(sequences.count(), SHARD_SEQUENCES)
-    nodes = scratch.cut(sequences.repartitionByRange(parts, "prefix", "path").mapInArrow(packed, _NODE), "nodes")
+    nodes = scratch.cut(sequences.repartitionByRange(parts, "prefix", "path").sortWithinPartitions("prefix", "path").mapInArrow(packed, _NODE), "nodes")
     sums = {c: F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens", "n_end")}
     firsts = {c: F.first(c).alias(c) for c in ("depth", "parent_digest", "words", "ancestors")}
     merged = scratch.cut(
