@@ -13,21 +13,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from benchloom.operators.records import latest_per_key
+from benchloom.streaming.table import UpsertTable
 
 
 class _Drops(StreamingQueryListener):
-    """Adds up the rows that every micro-batch of a run dropped; a query itself only remembers its last few batches."""
+    """Adds up the rows that every micro-batch of a run dropped, of which a query itself only remembers the last few; keeps its watermark."""
 
     def __init__(self) -> None:
         self.rows: Counter[str] = Counter()
         self.ended: set[str] = set()
         self.news = threading.Condition()
+        # Of a batch that is over, so that no later one changes what lies before it.
+        self.watermark: str | None = None
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
+        self.watermark = dict(event.progress.eventTime).get("watermark", self.watermark)
         self.rows[str(event.progress.runId)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
 
     def onQueryIdle(self, event) -> None:
@@ -46,8 +49,8 @@ class _Drops(StreamingQueryListener):
         return self.rows[run]
 
 
-def _run(writer, path: str, streams) -> StreamingQuery:
-    drops = _Drops()
+def _run(writer, path: str, streams, drops: _Drops | None = None) -> StreamingQuery:
+    drops = drops or _Drops()
     streams.addListener(drops)
     try:
         query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
@@ -68,16 +71,20 @@ def run_append(df: DataFrame, path: str) -> tuple[DataFrame, StreamingQuery]:
     return _table(df, path), query
 
 
-def run_upsert(df: DataFrame, keys: list[str], path: str) -> tuple[DataFrame, StreamingQuery]:
+def run_upsert(df: DataFrame, keys: list[str], path: str, every: int = 16) -> tuple[DataFrame, StreamingQuery]:
     """The newest row of each key, open windows included.
 
-    In update mode a micro-batch gives the keys it changed; they are stored under its number,
-    which makes a repeated batch overwrite itself, and the reader takes the last of each key.
-    Unlike complete mode this rewrites no old window and lets the watermark free state.
+    In update mode a micro-batch gives the keys it changed; `UpsertTable` stores them under its number, which makes a
+    repeated batch overwrite itself, and merges them every so many batches. Unlike complete mode this rewrites no
+    closed window each time and lets the watermark free state.
     """
-    query = run_batches(df, lambda batch: batch, path, "update")
-    updates = _table(df, path)
-    return latest_per_key(updates, keys, ["batch"]).drop("batch"), query
+    table = UpsertTable(df.sparkSession, f"{path}/table", df.schema, keys, every)
+    seen = _Drops()
+    query = _run(
+        df.writeStream.outputMode("update").foreachBatch(lambda batch, number: table.add(batch, number, seen.watermark)),
+        path, df.sparkSession.streams, seen,
+    )
+    return table.read(), query
 
 
 def run_batches(
