@@ -30,6 +30,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_HASH = mix((np.arange(256, dtype=U64) + U64(1)) * WORD_STEP)
+# A value of its own for every byte at every place of a word. Sums of multiples of powers would do for hashes of
+# few parts, but modulo 2**64 they are equal for some pairs of long words, whatever the factor.
+_PLACES = 64
+_PLACE_HASH = mix((np.arange(_PLACES * 256, dtype=U64) + U64(257)) * WORD_STEP)
 
 
 def powers(step: np.uint64, n: int) -> np.ndarray:
@@ -144,6 +148,8 @@ def words(column: pa.Array, alphabet: Alphabet, hashed: bool = True) -> Words:
         lengths = ends - starts
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-        weighed = BYTE_HASH[flat[inside]] * powers(WORD_STEP, int(lengths.max()))[place]
-        hashes = mix(np.add.reduceat(weighed, at) + lengths.astype(U64))
+        spread = _PLACE_HASH[(place % _PLACES) * 256 + flat[inside]]
+        far = np.flatnonzero(place >= _PLACES)
+        spread[far] = mix(spread[far] + (place[far] // _PLACES).astype(U64) * WINDOW_STEP)
+        hashes = mix(np.add.reduceat(spread, at) + lengths.astype(U64))
     return Words(flat, starts, ends, first, hashes)

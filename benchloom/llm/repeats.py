@@ -70,7 +70,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _cut_by(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, first, end) of each run of an ascending array."""
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True)]
+    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True)] if len(bucket) else []
 
 
 def _survivors(home: _Home, bits: pa.Table, lengths: list[int], upto: int) -> np.ndarray:
