@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from benchloom.functions.columns import uniform
 from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, sliced_join, with_salt
@@ -13,6 +13,9 @@ from benchloom.storage import cut
 # Random edges that are drawn from one array at a time.
 BLOCK = 10_000
 
+# Draws of a random degree that are tried.
+DRAWS = 16
+
 # Most targets of a vertex in one row.
 BLOCK_TARGETS = 1024
 
@@ -144,14 +147,27 @@ def _links(edges: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
     return links.repartition(parts, *key).sortWithinPartitions("dst")
 
 
-def _along(links: DataFrame, senders: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each link with the columns of its source; the links stay where they are and keep their order.
+# Most vertices of a partition that are built into a hash table.
+VERTICES_PER_TABLE = 1_000_000
 
-    The hash table of a partition holds its vertices once each, an even share of them all.
-    """
+
+def link_parts(spark: SparkSession, n_links: int, n_sources: int) -> int:
+    """Partitions of the links and their sources: they grow with either, whatever number the session has."""
+    # Half of what a table may hold, as hashing deals vertices out unevenly.
+    return max(cache_parts(spark, n_links), math.ceil(2 * n_sources / VERTICES_PER_TABLE))
+
+
+def _join_by(sources: DataFrame) -> str:
+    """How links meet their sources: a hash table of each partition, or sorted if some partition has too many."""
+    largest = sources.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] or 0
+    return "shuffle_hash" if largest <= VERTICES_PER_TABLE else "merge"
+
+
+def _along(links: DataFrame, senders: DataFrame, hot: DataFrame, how: str = "shuffle_hash") -> DataFrame:
+    """Each link with the columns of its source; under a hash table the links stay where they are and keep their order."""
     if "slice" in links.columns:
-        return links.join(per_salt(senders, "src", hot, "slice").hint("shuffle_hash"), ["src", "slice"])
-    return links.join(senders.hint("shuffle_hash"), "src")
+        return links.join(per_salt(senders, "src", hot, "slice").hint(how), ["src", "slice"])
+    return links.join(senders.hint(how), "src")
 
 
 def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int = 5) -> DataFrame:
@@ -168,14 +184,16 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
     if iters < 1:
         raise ValueError("pagerank needs at least one iteration")
     degree = cut(edges.groupBy("src").agg(F.count("*").alias("out_degree")), "out-degrees")
-    parts = cache_parts(edges.sparkSession, degree.agg(F.sum("out_degree")).first()[0] or 0)
+    n_links, n_sources = degree.agg(F.coalesce(F.sum("out_degree"), F.lit(0)), F.count("*")).first()
+    parts = link_parts(edges.sparkSession, n_links, n_sources)
     hot = hot_keys(degree, "src", "out_degree")
     links = _links(edges, hot, parts).persist()
     sources = degree.repartition(parts, "src").persist()
+    how = _join_by(sources)
     ranks = sources.withColumn("rank", F.lit(1.0))
     for step in range(1, iters + 1):
         senders = ranks.select("src", (F.col("rank") / F.col("out_degree")).alias("message"))
-        sums = _along(links, senders, hot).groupBy(F.col("dst").alias("src")).agg(F.sum("message").alias("sum"))
+        sums = _along(links, senders, hot, how).groupBy(F.col("dst").alias("src")).agg(F.sum("message").alias("sum"))
         rank = reset + (1 - reset) * F.coalesce("sum", F.lit(0.0))
         ranks = sources.join(sums, "src", "left" if step < iters else "full").select(
             "src", "out_degree", rank.alias("rank")
@@ -190,12 +208,17 @@ def pagerank(edges: DataFrame, iters: int, reset: float = 0.15, cut_every: int =
 def lognormal_edges(vertices: DataFrame, n: int, mu: float = 4.0, sigma: float = 1.3, seed: int = 42) -> DataFrame:
     """Random edges among vertices 0..n-1 with log-normal out-degrees below n and uniform targets.
 
-    `vertices` has a column `id` with the sources to draw for. Draws depend on the ids and the
+    A degree of n or more is drawn again, up to `DRAWS` times; only if all of these were (n lies far below the bulk of
+    the distribution) any degree below n is as likely as another. `vertices` has a column `id` with the sources to draw for. Draws depend on the ids and the
     seed only.
     """
-    u1, u2 = uniform(seed, F.lit("a"), F.col("id")), uniform(seed, F.lit("b"), F.col("id"))
-    normal = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-    degree = F.least(F.floor(F.exp(mu + sigma * normal)), F.lit(n - 1)).cast("long")
+    def drawn(turn: int) -> Column:
+        u1, u2 = (uniform(seed, F.lit(c), F.col("id"), F.lit(turn)) for c in "ab")
+        return F.floor(F.exp(mu + sigma * F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)))
+
+    # The first draw below n: the distribution is cut off there and does not pile up.
+    kept = F.coalesce(*[F.when(drawn(k) < n, drawn(k)) for k in range(DRAWS)], F.floor(uniform(seed, F.lit("c"), F.col("id")) * n))
+    degree = kept.cast("long")
     # Explode in two steps, so that a vertex of very high degree is never one huge array.
     blocks = F.sequence(F.lit(1), F.col("degree"), F.lit(BLOCK))
     block = F.sequence(F.col("first"), F.least(F.col("first") + (BLOCK - 1), F.col("degree")))

@@ -15,8 +15,8 @@ from pyspark.sql.types import BinaryType, BooleanType, DatetimeType, NumericType
 # Most rows, and most bytes before any encoding, of a lookup table that is sent to every executor.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
-# Rows that make a task worth starting.
-ROWS_PER_TASK = 100_000
+# Rows that make a task worth starting, and most rows of a task that are kept in memory or built into a table.
+ROWS_PER_TASK, MOST_ROWS_PER_TASK = 100_000, 5_000_000
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -24,8 +24,11 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def cache_parts(spark: SparkSession, rows: int) -> int:
-    """Partitions for rows that a loop reads again and again: the session's number, fewer for few rows."""
-    return max(1, min(shuffle_parts(spark), math.ceil(rows / ROWS_PER_TASK)))
+    """Partitions for rows that a loop reads again and again.
+
+    The session's number, fewer for few rows, and more for so many rows that its number would make them too large.
+    """
+    return max(1, min(shuffle_parts(spark), math.ceil(rows / ROWS_PER_TASK)), math.ceil(rows / MOST_ROWS_PER_TASK))
 
 
 def is_small(table: DataFrame) -> bool:

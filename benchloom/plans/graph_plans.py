@@ -86,12 +86,17 @@ def _draw(*parts: str) -> str:
     return f"((('0x' || substr({digest}, 1, 13))::BIGINT + 0.5::DOUBLE) / {2**52}::DOUBLE)"
 
 
+def _degree_sql(turn: int) -> str:
+    u1, u2 = (_draw(f"'{c}'", "id::VARCHAR", f"'{turn}'") for c in "ab")
+    return f"floor(exp(4.0 + 1.3 * sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2})))"
+
+
+_DEGREES = ", ".join(f"CASE WHEN {_degree_sql(k)} < n THEN {_degree_sql(k)} END" for k in range(graph.DRAWS))
+
+
 @query(f"""
     WITH v AS (SELECT c_custkey AS id FROM customer), n AS (SELECT count(*) AS n FROM customer),
-    g AS (
-        SELECT id, n, least(floor(exp(4.0 + 1.3 * sqrt(-2 * ln({_draw("'a'", "id::VARCHAR")}))
-            * cos(2 * pi() * {_draw("'b'", "id::VARCHAR")}))), n - 1)::BIGINT AS degree
-        FROM v, n),
+    g AS (SELECT id, n, coalesce({_DEGREES}, floor({_draw("'c'", "id::VARCHAR")} * n))::BIGINT AS degree FROM v, n),
     k AS (SELECT id, n, unnest(range(1, degree + 1)) AS k FROM g WHERE degree > 0)
     SELECT id AS src, floor({_draw("'t'", "id::VARCHAR", "k::VARCHAR")} * n)::BIGINT AS dst FROM k
 """)
