@@ -107,10 +107,42 @@ def active_users(spark, d):
     return W.active_users(_batch(spark, d), "1 day", exact=True)
 
 
-@query()
+# Estimates lie within this share of the exact counts, or one user: three standard errors.
+BAND = 0.05
+
+
+@query(f"""
+    SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + {DAY} AS window_end,
+           count(DISTINCT user_id) AS n_exact, true AS within_band
+    FROM events GROUP BY ALL
+""")
 def stream_active_users(spark, d):
-    """Estimated distinct users per day."""
-    return _upsert(W.active_users(_stream(spark, d), "1 day"), "active")
+    """Estimated distinct users per day from a stream, held against exact counts of the table."""
+    guess = _upsert(W.active_users(_stream(spark, d), "1 day"), "active").withColumnRenamed("n_users", "guess")
+    exact = W.active_users(_batch(spark, d), "1 day", exact=True).withColumnRenamed("n_users", "n_exact")
+    off = F.abs(F.col("guess") - F.col("n_exact"))
+    return exact.join(guess, ["window_start", "window_end"], "left").select(
+        "window_start", "window_end", "n_exact",
+        F.coalesce(off <= F.greatest(F.lit(1.0), BAND * F.col("n_exact")), F.lit(False)).alias("within_band"),
+    )
+
+
+@query(f"""
+    SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS window_start,
+           time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') + INTERVAL 7 DAY AS window_end,
+           count(DISTINCT user_id) AS n_exact, true AS within_band
+    FROM events GROUP BY ALL
+""")
+def stream_weekly_users(spark, d):
+    """Daily sketches kept by a stream and rolled up to weeks, held against exact counts of the table."""
+    days = _upsert(W.user_sketches(_stream(spark, d), "1 day"), "sketches")
+    guess = W.rolled_up(days, "7 days").withColumnRenamed("n_users", "guess")
+    exact = W.active_users(_batch(spark, d), "7 days", exact=True).withColumnRenamed("n_users", "n_exact")
+    off = F.abs(F.col("guess") - F.col("n_exact"))
+    return exact.join(guess, ["window_start", "window_end"], "left").select(
+        "window_start", "window_end", "n_exact",
+        F.coalesce(off <= F.greatest(F.lit(1.0), BAND * F.col("n_exact")), F.lit(False)).alias("within_band"),
+    )
 
 
 @query(f"""
@@ -165,6 +197,22 @@ def stream_late_events(spark, d):
     return table
 
 
+@query(f"""
+    WITH mark AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events WHERE event_type <> 'error')
+    SELECT event_id, user_id, date_trunc('day', ts) + {DAY} AS window_end FROM events, mark
+    WHERE event_type = 'error' AND date_trunc('day', ts) + {DAY} <= mark
+""")
+def stream_dropped(spark, d):
+    """The events that `stream_late_events` leaves out, as rows."""
+    feed, out = new_path(spark, "feed"), new_path(spark, "dropped")
+    events = load(spark, d, "events")
+    late = F.col("event_type") == "error"
+    for delivery in (events.where(~late), events.where(late)):
+        delivery.write.mode("append").parquet(f"{feed}/events.parquet")
+        table, _ = sink.run_late(events_stream(spark, feed), "1 day", "2 days", out)
+    return table.select("event_id", "user_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"))
+
+
 @query("SELECT event_id, ts, user_id, event_type FROM events")
 def stream_dedup(spark, d):
     """Every event delivered twice, and kept once."""

@@ -10,8 +10,9 @@ import threading
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from benchloom.streaming.table import UpsertTable
 
@@ -104,6 +105,34 @@ def run_topk(counts: DataFrame, change: Callable[[DataFrame], DataFrame], path:
     return _table(counts, path).drop("batch"), query
 
 
+def run_late(events: DataFrame, size: str, delay: str, path: str) -> tuple[DataFrame, StreamingQuery]:
+    """The events that windows of `size` under a watermark of `delay` leave out, as rows, with their window's end.
+
+    A stateful operator only counts what it drops. Here every micro-batch stores the newest time it saw, after the
+    events whose window the watermark had closed before it: that of the newest time of all batches before, less the
+    delay. So a batch that is repeated, or a run that goes on later, decides the same. Events without a time are left out
+    by windows too, but are not late.
+    """
+    spark = events.sparkSession
+    schema = events.schema
+
+    def store(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema("newest timestamp, batch long").parquet(f"{path}/seen")
+        mark = F.max("newest") - F.expr(f"interval {delay}")
+        closed = known.where(F.col("batch") < number).agg(mark.alias("mark")).first()["mark"]
+        end = F.window("ts", size)["end"]
+        late = batch.withColumn("window_end", end).where(F.col("window_end") <= F.lit(closed).cast("timestamp"))
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        seen = batch.agg(F.max("ts").alias("newest"), F.lit(number).cast("long").alias("batch"))
+        seen.write.mode("overwrite").parquet(f"{path}/seen/part={number}")
+
+    # So that there is something to read before the first batch.
+    spark.createDataFrame([], "newest timestamp, batch long").write.mode("overwrite").parquet(f"{path}/seen/part=-1")
+    query = _run(events.writeStream.foreachBatch(store), path, spark.streams)
+    fields = [*schema.fields, StructField("window_end", TimestampType()), StructField("batch", LongType())]
+    return spark.read.schema(StructType(fields)).parquet(f"{path}/late").drop("batch"), query
+
+
 def dropped_rows(query: StreamingQuery) -> int:
     """Rows that a run of this module left out for being behind the watermark, over all its micro-batches.
 

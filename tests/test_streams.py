@@ -186,3 +186,42 @@ def test_drops_are_counted_beyond_what_a_query_remembers(spark, folder):
         assert len(query.recentProgress) < 5 and sink.dropped_rows(query) == 5
     finally:
         spark.conf.set(kept, before)
+
+
+def test_exact_users_combine_a_busy_user_before_the_shuffle(spark, folder):
+    deliver(spark, folder, [event(1, 0)])
+    users = W.active_users(W.watermarked(events_stream(spark, folder), "1 hour"), "6 hours", exact=True)
+    # Without a last batch that has no events.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        query = users.writeStream.format("noop").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    plan = query._jsq.streamingQuery().lastExecution().toString().split("== Physical Plan ==")[1]
+    # From the scan up: the first step that sees users sums them in its task, then comes the shuffle.
+    assert plan.count("StateStoreSave") == 2
+    assert "HashAggregate" in plan[plan.rindex("Exchange"):]
+
+
+def test_sketches_roll_up(spark, folder):
+    rows = [event(k, 7 * k, user=k % 700 if k % 5 else None) for k in range(4000)]
+    sketches = W.user_sketches(event_time(table(spark, rows)), "1 day")
+    whole = {r.window_start: r.n_users for r in W.active_users(event_time(table(spark, rows)), "7 days", exact=True).collect()}
+    guess = {r.window_start: r.n_users for r in W.rolled_up(sketches, "7 days").collect()}
+    assert guess.keys() == whole.keys() and all(abs(guess[w] - n) <= 0.05 * n for w, n in whole.items())
+
+
+def test_late_rows_are_told_apart_as_the_window_drops_them(spark, folder):
+    """Over micro-batches of one run, and runs that go on; what is late there is dropped by the windows."""
+    batches = [[event(1, 0), event(2, 300)], [event(3, 5), event(4, 295)], [event(5, 900)], [event(6, 301), event(7, 899), event(8, 200)]]
+    counts = lambda: W.tumbling_counts(W.watermarked(events_stream(spark, folder, max_files=1), "10 minutes"), "1 hour")
+    dropped = 0
+    for part in (batches[:1], batches[1:3], batches[3:]):
+        for rows in part:
+            deliver(spark, folder, rows)
+        late, _ = sink.run_late(events_stream(spark, folder, max_files=1), "1 hour", "10 minutes", f"{folder}/late")
+        kept, query = sink.run_upsert(counts(), ["window_start", "window_end", "event_type"], f"{folder}/kept")
+        dropped += sink.dropped_rows(query)
+    assert sorted(r.event_id for r in late.collect()) == [3, 6, 8]
+    assert kept.agg(F.sum("n")).first()[0] == 5 and dropped == 3
