@@ -28,6 +28,9 @@ METRICS = [
     ("throughput", "throughput", "x/sec", "desc"),
 ]
 
+# Fixed value: the metric that is a run's composite score.
+COMPOSITE = "duration"
+
 
 def catalog(spark: SparkSession) -> DataFrame:
     rows = ", ".join(str(row) for row in CATALOG)
@@ -130,6 +133,12 @@ def unpivot_metrics(runs: DataFrame, *ids: str) -> DataFrame:
     return runs.select(*ids, F.inline(F.array(*rows)))
 
 
+def composite(metrics: DataFrame, *ids: str) -> DataFrame:
+    """The one headline value of each run, with its units and direction: its duration. Runs without one have none."""
+    kept = metrics.where((F.col("name") == COMPOSITE) & F.col("value").isNotNull())
+    return kept.select(*ids, F.col("value").alias("score"), "units", "direction")
+
+
 def _score() -> Column:
     """Value signed so that smaller is better."""
     return F.when(F.col("direction") == "asc", F.col("value")).otherwise(-F.col("value"))

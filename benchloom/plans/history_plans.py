@@ -19,16 +19,17 @@ PATTERN = "[Tt]he .nd"
 
 
 @query("""
-    SELECT run, count(*) AS n_lines, sum(length(value))::BIGINT AS n_chars
-    FROM (SELECT source AS run, unnest(string_split(text, chr(10))) AS value FROM documents)
-    GROUP BY run
+    SELECT benchmark, run, count(*) AS n_lines, sum(length(value))::BIGINT AS n_chars
+    FROM (SELECT 'b ' || lang AS benchmark, source AS run, unnest(string_split(text, chr(10))) AS value FROM documents)
+    GROUP BY benchmark, run
 """)
 def read_log_files(spark, d):
-    """Documents written as one log per source and scanned back."""
+    """Documents written as one log per source, below a folder of their language, and scanned back."""
     path = new_path(spark, "logs")
     documents = load(spark, d, "documents")
-    write_logs(documents.select(F.col("source").alias("run"), F.explode(F.split("text", "\n")).alias("value")), path)
-    return read_logs(spark, path).groupBy("run").agg(
+    benchmark = F.concat(F.lit("b "), "lang").alias("benchmark")
+    write_logs(documents.select(benchmark, F.col("source").alias("run"), F.explode(F.split("text", "\n")).alias("value")), path)
+    return read_logs(spark, path).groupBy("benchmark", "run").agg(
         F.count("*").alias("n_lines"), F.sum(F.length("value")).alias("n_chars")
     )
 
@@ -70,6 +71,33 @@ def active_jobs(spark, d):
     return history.active_jobs(*jobs(load(spark, d, "orders"), load(spark, d, "lineitem")))
 
 
+def write_event_log(starts, ends, path):
+    """Stand-in for applications: (app_id, job_id, start_ts) and (app_id, job_id, end_ts, result) as log events."""
+    started = starts.select(
+        "app_id",
+        F.to_json(F.struct(
+            F.lit("SparkListenerJobStart").alias("Event"),
+            F.col("job_id").alias("Job ID"),
+            F.unix_millis(F.col("start_ts").cast("timestamp")).alias("Submission Time"),
+        )).alias("value"),
+    )
+    ended = ends.select(
+        "app_id",
+        F.to_json(F.struct(
+            F.lit("SparkListenerJobEnd").alias("Event"),
+            F.col("job_id").alias("Job ID"),
+            F.unix_millis(F.col("end_ts").cast("timestamp")).alias("Completion Time"),
+            F.struct(F.col("result").alias("Result")).alias("Job Result"),
+        )).alias("value"),
+    )
+    (
+        started.unionByName(ended)
+        .select(F.concat(F.lit("eventlog_v2_"), "app_id").alias("log"), "value")
+        .hint("rebalance", "log")
+        .write.partitionBy("log").mode("append").text(path)
+    )
+
+
 @query(f"""
     WITH {_JOBS} SELECT 'app-' || (job_id % 7) AS app_id, job_id, start_ts, end_ts, status, duration_s,
     CASE WHEN status = 'finished' THEN 'JobSucceeded' END AS result FROM h
@@ -79,12 +107,11 @@ def event_log_history(spark, d):
     path = new_path(spark, "event-log")
     starts, ends = jobs(load(spark, d, "orders"), load(spark, d, "lineitem"))
     app = F.concat(F.lit("app-"), (F.col("job_id") % 7).cast("string"))
-    event_log.write_event_log(
+    write_event_log(
         starts.withColumn("app_id", app),
         ends.withColumns({"app_id": app, "result": F.lit("JobSucceeded")}), path,
     )
-    log = event_log.read_event_log(spark, path)
-    jobs_of = history.job_history(event_log.job_starts(log), event_log.job_ends(log), ("app_id", "job_id"))
+    jobs_of = event_log.logged_jobs(event_log.read_event_log(spark, path)).drop("attempt")
     return jobs_of.withColumns({
         "start_ts": F.col("start_ts").cast("timestamp_ntz"), "end_ts": F.col("end_ts").cast("timestamp_ntz"),
         "duration_s": F.col("duration_s").cast("double"),

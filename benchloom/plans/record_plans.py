@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import columns as X
 from benchloom.operators import records
 from benchloom.plans.registry import Registry
-from benchloom.sources.logs import read_app_list
+from benchloom.sources.logs import read_app_list, read_logs, write_raw_records
 from benchloom.sources.report import parse_report, read_report
 from benchloom.sources.runs import read_runs, write_runs
 from benchloom.sources.tables import app_list, jobs, load, report_lines
@@ -157,6 +157,27 @@ def metrics_long(spark, d):
     return records.unpivot_metrics(_runs(spark, d), "run", "workload").withColumn("value", F.round("value", 6))
 
 
+@query(f"WITH {_R} SELECT run, workload, round(duration_s, 6) AS score, 'secs' AS units, 'asc' AS direction FROM r WHERE duration_s IS NOT NULL")
+def composite_scores(spark, d):
+    metrics = records.unpivot_metrics(_runs(spark, d), "run", "workload")
+    return records.composite(metrics, "run", "workload").withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+    WITH {_R} SELECT workload AS benchmark, strftime(record_ts, '%Y-%m-%d 00:00') AS run,
+    count(*) AS n_records, round(sum(duration_s), 4) AS duration_s FROM r GROUP BY ALL
+""")
+def raw_records(spark, d):
+    """Raw lines kept as logs, those of a workload and day as one, scanned back and parsed again."""
+    path = new_path(spark, "raw")
+    daily = F.date_format("record_ts", "yyyy-MM-dd 00:00")
+    write_raw_records(_runs(spark, d).withColumn("run", daily), path)
+    seconds = F.sum(X.field(F.col("value"), 3).cast("double"))
+    return read_logs(spark, path).groupBy("benchmark", "run").agg(
+        F.count("*").alias("n_records"), F.round(seconds, 4).alias("duration_s"),
+    )
+
+
 @query(f"""
     WITH {_R}, {_METRICS}
     SELECT workload, name, run, round(value, 6) AS value FROM m

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from benchloom.functions.columns import duration_s
+from benchloom.sources.logs import decoded
 
 # The event fields kept; the log's own names.
 EVENT_SCHEMA = (
@@ -11,21 +14,31 @@ EVENT_SCHEMA = (
 )
 
 
+def _log_name() -> Column:
+    """Name of the application log that a file belongs to: its rolling folder, or the file itself."""
+    path = decoded(F.col("_metadata.file_path"))
+    folder = F.regexp_extract(path, r"/(?:log=)?eventlog_v2_([^/]+)/[^/]*$", 1)
+    named = F.when(path.rlike(r"/log=eventlog_v2_[^/]+/[^/]*$"), decoded(folder)).otherwise(folder)
+    return F.when(folder != "", named).otherwise(F.regexp_extract(path, r"([^/]+?)(?:\.inprogress|\.zstd|\.lz4|\.snappy|\.lzf)*$", 1))
+
+
+# Ids of cluster managers end in numbers of their own; a further number after an underscore is the attempt.
+_ATTEMPT = r"^(application_\d+_\d+|.*?)(?:_(\d+))?$"
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of all applications below `path`, from single-file or rolling logs.
+    """Events of all applications below `path`, from single-file or rolling logs, with the attempt where a log names one.
 
     A log that is still being written may end in half a line, which is left out.
     """
-    path_col = F.col("_metadata.file_path")
-    app = F.coalesce(
-        F.nullif(F.regexp_extract(path_col, r"eventlog_v2_([^/]+)/", 1), F.lit("")),
-        F.regexp_extract(path_col, r"([^/]+?)(?:\.inprogress|\.zstd|\.lz4|\.snappy)*$", 1),
-    )
+    attempt = F.regexp_extract("log", _ATTEMPT, 2)
     return (
         spark.read.schema(EVENT_SCHEMA)
         .option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").json(path)
+        .select("*", _log_name().alias("log"))
         .select(
-            app.alias("app_id"),
+            F.regexp_extract("log", _ATTEMPT, 1).alias("app_id"),
+            F.when(attempt != "", attempt.cast("int")).alias("attempt"),
             F.col("Event").alias("event"),
             F.col("Job ID").alias("job_id"),
             F.timestamp_millis("Submission Time").alias("submitted"),
@@ -38,6 +51,22 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def logged_jobs(log: DataFrame) -> DataFrame:
+    """Every started job of a log with start, end, result, status and duration, one row per application, attempt and job.
+
+    One pass: starts and ends of a job fold into one row, in each task before the shuffle. Of a job that was logged
+    twice the first start and the last end count. Jobs without a start are left out.
+    """
+    ended = F.col("event") == "SparkListenerJobEnd"
+    folded = log.where(F.col("event").isin("SparkListenerJobStart", "SparkListenerJobEnd")).groupBy("app_id", "attempt", "job_id").agg(
+        F.min(F.when(~ended, F.col("submitted"))).alias("start_ts"), F.max(F.when(ended, F.col("completed"))).alias("end_ts"),
+        F.max_by(F.when(ended, F.col("result")), F.when(ended, F.col("completed"))).alias("result"),
+    )
+    return folded.where(F.col("start_ts").isNotNull()).withColumns({
+        "status": F.when(F.col("end_ts").isNull(), "active").otherwise("finished"), "duration_s": duration_s(F.col("start_ts"), F.col("end_ts")),
+    })
+
+
 def job_starts(log: DataFrame) -> DataFrame:
     return log.where(F.col("event") == "SparkListenerJobStart").select(
         "app_id", "job_id", F.col("submitted").alias("start_ts")
@@ -48,30 +77,3 @@ def job_ends(log: DataFrame) -> DataFrame:
     return log.where(F.col("event") == "SparkListenerJobEnd").select(
         "app_id", "job_id", F.col("completed").alias("end_ts"), "result"
     )
-
-
-def write_event_log(starts: DataFrame, ends: DataFrame, path: str) -> None:
-    """Write (app_id, job_id, start_ts) and (app_id, job_id, end_ts, result) as log events."""
-    started = starts.select(
-        "app_id",
-        F.to_json(F.struct(
-            F.lit("SparkListenerJobStart").alias("Event"),
-            F.col("job_id").alias("Job ID"),
-            F.unix_millis(F.col("start_ts").cast("timestamp")).alias("Submission Time"),
-        )).alias("value"),
-    )
-    ended = ends.select(
-        "app_id",
-        F.to_json(F.struct(
-            F.lit("SparkListenerJobEnd").alias("Event"),
-            F.col("job_id").alias("Job ID"),
-            F.unix_millis(F.col("end_ts").cast("timestamp")).alias("Completion Time"),
-            F.struct(F.col("result").alias("Result")).alias("Job Result"),
-        )).alias("value"),
-    )
-    (
-        started.unionByName(ended)
-        .select(F.concat(F.lit("eventlog_v2_"), "app_id").alias("log"), "value")
-        .hint("rebalance", "log")
-        .write.partitionBy("log").mode("append").text(path)
-    )

@@ -4,11 +4,14 @@ import subprocess
 import sys
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from benchloom.operators import estimate, history, logs
+from benchloom.plans.history_plans import write_event_log
 from benchloom.sources import event_log
-from benchloom.sources.logs import read_logs, write_logs
+from benchloom.sources.logs import read_logs, write_logs, write_raw_records
+from conftest import plan_of
 
 
 def test_read_logs_takes_run_from_file_and_folder_names(spark, tmp_path):
@@ -56,7 +59,7 @@ def test_event_log_round_trip_and_broken_tail(spark, tmp_path):
     ends = spark.createDataFrame([("app-1", 0, t0, "JobSucceeded")],
                                  "app_id string, job_id long, end_ts timestamp, result string")
     path = str(tmp_path / "log")
-    event_log.write_event_log(starts, ends, path)
+    write_event_log(starts, ends, path)
     single = tmp_path / "log" / "local-123.inprogress"
     single.write_text('{"Event":"SparkListenerJobStart","Job ID":5,"Submission Time":1000}\n{"Event":"SparkListenerJobE')
     log = event_log.read_event_log(spark, path)
@@ -97,3 +100,53 @@ def test_runs_with_special_characters_come_back(spark, tmp_path):
     names = ["2015-12-10-23:41:57", "my run", "k=v", "50%", "a+b", "007"]
     write_logs(spark.createDataFrame([(n, "line") for n in names], "run string, value string"), str(tmp_path / "l"))
     assert sorted(r.run for r in read_logs(spark, str(tmp_path / "l")).collect()) == sorted(names)
+
+
+def test_logs_come_back_with_their_benchmarks(spark, tmp_path):
+    names = ["PageRank", "a b", "x=y", "50%", "c+d"]
+    lines = spark.createDataFrame([(b, r, f"{b} {r}") for b in names for r in ("1449790894", "2015-12-10-23:41:57")], "benchmark string, run string, value string")
+    write_logs(lines, str(tmp_path / "l"))
+    got = read_logs(spark, str(tmp_path / "l"))
+    assert got.count() == lines.count() and got.exceptAll(lines).isEmpty()
+    only = read_logs(spark, str(tmp_path / "l" / "benchmark=PageRank"))
+    assert {r.benchmark for r in only.collect()} == {"PageRank"}
+
+
+@pytest.mark.parametrize("row", [(None, "1", "x"), ("b", None, "x"), ("", "1", "x")])
+def test_a_log_needs_names(spark, tmp_path, row):
+    with pytest.raises(Exception, match="a log without a"):
+        write_logs(spark.createDataFrame([row], "benchmark string, run string, value string"), str(tmp_path / "l"))
+
+
+def test_raw_records_are_logs_of_their_runs(spark, tmp_path):
+    report = spark.createDataFrame([("PageRank", 7, "PageRank,a,1.0"), ("SVM", 7, "SVM,b,2.0")], "workload string, run long, raw string")
+    write_raw_records(report, str(tmp_path / "r"))
+    assert sorted(tuple(r) for r in read_logs(spark, str(tmp_path / "r")).collect()) == [("PageRank", "7", "PageRank,a,1.0"), ("SVM", "7", "SVM,b,2.0")]
+
+
+def test_event_logs_of_odd_names_and_attempts(spark, tmp_path):
+    t0 = datetime(2020, 1, 1, tzinfo=timezone.utc)
+    apps = ["app 1", "a%b", "app-20200101-0001", "application_1577836800000_0007", "application_1577836800000_0007_1", "application_1577836800000_0007_2"]
+    starts = spark.createDataFrame([(a, 0, t0) for a in apps], "app_id string, job_id long, start_ts timestamp")
+    ends = spark.createDataFrame([(a, 0, t0, "JobSucceeded") for a in apps if a[-1] != "1"], "app_id string, job_id long, end_ts timestamp, result string")
+    write_event_log(starts, ends, str(tmp_path / "log"))
+    (tmp_path / "log" / "local-5_3").write_text('{"Event":"SparkListenerJobStart","Job ID":5,"Submission Time":1000}\n')
+    jobs = event_log.logged_jobs(event_log.read_event_log(spark, str(tmp_path / "log")))
+    assert {(r.app_id, r.attempt, r.job_id): r.status for r in jobs.collect()} == {
+        ("app 1", None, 0): "active", ("a%b", None, 0): "finished", ("app-20200101-0001", None, 0): "active",
+        ("application_1577836800000_0007", None, 0): "finished", ("application_1577836800000_0007", 1, 0): "active",
+        ("application_1577836800000_0007", 2, 0): "finished", ("local-5", 3, 5): "active",
+    }
+
+
+def test_jobs_of_a_log_are_one_scan(spark, tmp_path):
+    """Starts and ends in rolling files out of order, a job logged twice, an end without a start."""
+    (tmp_path / "eventlog_v2_app").mkdir()
+    line = '{{"Event":"SparkListenerJob{}","Job ID":{},"{} Time":{}{}}}\n'.format
+    end = lambda job, at, result: line("End", job, "Completion", at, f',"Job Result":{{"Result":"{result}"}}')
+    (tmp_path / "eventlog_v2_app" / "events_1_app").write_text(end(1, 9000, "JobSucceeded") + line("Start", 1, "Submission", 5000, "") + end(3, 1, "JobSucceeded"))
+    (tmp_path / "eventlog_v2_app" / "events_2_app").write_text(line("Start", 2, "Submission", 1000, "") + line("Start", 1, "Submission", 2000, "") + end(1, 7000, "JobFailed"))
+    jobs = event_log.logged_jobs(event_log.read_event_log(spark, str(tmp_path)))
+    assert {(r.job_id, r.status, r.result, r.duration_s) for r in jobs.collect()} == {(1, "finished", "JobSucceeded", 7), (2, "active", None, None)}
+    plan = plan_of(event_log.logged_jobs(event_log.read_event_log(spark, str(tmp_path)))).split("== Physical Plan ==")[1]
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "partial_max_by" in plan[plan.index("Exchange"):]

@@ -151,3 +151,9 @@ def test_run_store_appends_and_prunes(spark, tmp_path):
     assert (tmp_path / "runs" / "workload=PageRank").is_dir()
     plan = plan_of(records.records_for(runs, "SVM", exact=True))
     assert "PartitionFilters: [isnotnull(workload" in plan
+
+
+def test_composite_score_is_the_duration(spark):
+    runs = spark.createDataFrame([(1, "a", 3.5, 2.0), (2, "a", None, 1.0)], "run long, workload string, duration_s double, throughput double")
+    got = records.composite(records.unpivot_metrics(runs, "run", "workload"), "run", "workload").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 3.5, "secs", "asc")]
