@@ -61,9 +61,10 @@ def read_report_file(spark, d):
     )
 
 
-@query(f"WITH {_R} SELECT run, workload, record_ts FROM r WHERE workload = 'error'")
+@query(f"WITH {_R} SELECT run, workload, record_ts FROM r WHERE contains(workload || '-Config', 'or-Conf')")
 def records_with_key(spark, d):
-    return records.records_for(_runs(spark, d), "error").select("run", "workload", "record_ts")
+    """The key is part of another field than the workload."""
+    return records.records_for(_runs(spark, d), "or-Conf").select("run", "workload", "record_ts")
 
 
 @query(f"WITH {_R} SELECT run, workload, record_ts FROM r WHERE workload = 'view'")
@@ -98,9 +99,9 @@ def latest_per_user(spark, d):
     )
 
 
-@query(f"WITH {_R} {_LATEST} WHERE workload = 'purchase' ORDER BY record_ts DESC, run DESC LIMIT 1")
+@query(f"WITH {_R} {_LATEST} WHERE contains(workload || '-Config', 'chase-Conf') ORDER BY record_ts DESC, run DESC LIMIT 1")
 def latest_record(spark, d):
-    return records.latest(_runs(spark, d), "purchase", ["record_ts", "run"]).select(
+    return records.latest(_runs(spark, d), "chase-Conf", ["record_ts", "run"]).select(
         "run", "workload", "record_ts", F.round("duration_s", 6).alias("duration_s")
     )
 

@@ -179,6 +179,25 @@ def stream_sessions(spark, d):
     return sink.run_append(W.sessions(_stream(spark, d), "30 minutes"), new_path(spark, "sessions"))[0]
 
 
+@query(_SESSIONS)
+def stream_all_sessions(spark, d):
+    """Sessions of a backlog to its end: those the watermark has closed, and those still open."""
+    path = new_path(spark, "all-sessions")
+    closed, _ = sink.run_append(W.sessions(_stream(spark, d), "30 minutes"), path)
+    return closed.unionByName(sink.open_sessions(spark, path))
+
+
+@query(f"""
+    SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, event_type)::INT AS place FROM ({_TUMBLING})
+    QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY n DESC, event_type) <= 2
+""")
+def stream_all_topk(spark, d):
+    """The two most frequent types of each window, open ones included."""
+    path = new_path(spark, "all-topk")
+    closed, _ = sink.run_append(W.tumbling_counts(_stream(spark, d), "1 day"), path)
+    return W.topk_per_window(closed.unionByName(sink.open_counts(spark, path)), 2)
+
+
 @query(f"""
     WITH mark AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events WHERE event_type <> 'error')
     SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + {DAY} AS window_end, event_type, count(*) AS n

@@ -10,7 +10,7 @@ import threading
 from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
@@ -50,15 +50,24 @@ class _Drops(StreamingQueryListener):
         return self.rows[run]
 
 
-def _run(writer, path: str, streams, drops: _Drops | None = None) -> StreamingQuery:
+# Sessions are merged in each task before the shuffle. A stream keeps the settings that it was started with.
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+def _run(writer, path: str, spark: SparkSession, drops: _Drops | None = None) -> StreamingQuery:
     drops = drops or _Drops()
-    streams.addListener(drops)
+    before = spark.conf.get(LOCAL_MERGE)
+    spark.streams.addListener(drops)
     try:
-        query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        spark.conf.set(LOCAL_MERGE, "true")
+        try:
+            query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(LOCAL_MERGE, before)
         query.awaitTermination()
         query.rows_dropped = drops.of(str(query.runId))
     finally:
-        streams.removeListener(drops)
+        spark.streams.removeListener(drops)
     return query
 
 
@@ -68,7 +77,7 @@ def _table(df: DataFrame, path: str) -> DataFrame:
 
 def run_append(df: DataFrame, path: str) -> tuple[DataFrame, StreamingQuery]:
     """Rows as they become final: each closed window or session once."""
-    query = _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table"), path, df.sparkSession.streams)
+    query = _run(df.writeStream.outputMode("append").format("parquet").option("path", f"{path}/table"), path, df.sparkSession)
     return _table(df, path), query
 
 
@@ -83,7 +92,7 @@ def run_upsert(df: DataFrame, keys: list[str], path: str, every: int = 16) -> tu
     seen = _Drops()
     query = _run(
         df.writeStream.outputMode("update").foreachBatch(lambda batch, number: table.add(batch, number, seen.watermark)),
-        path, df.sparkSession.streams, seen,
+        path, df.sparkSession, seen,
     )
     return table.read(), query
 
@@ -96,7 +105,7 @@ def run_batches(
     def store(batch: DataFrame, number: int) -> None:
         change(batch).write.mode("overwrite").parquet(f"{path}/table/batch={number}")
 
-    return _run(df.writeStream.outputMode(mode).foreachBatch(store), path, df.sparkSession.streams)
+    return _run(df.writeStream.outputMode(mode).foreachBatch(store), path, df.sparkSession)
 
 
 def run_topk(counts: DataFrame, change: Callable[[DataFrame], DataFrame], path: str) -> tuple[DataFrame, StreamingQuery]:
@@ -105,6 +114,24 @@ def run_topk(counts: DataFrame, change: Callable[[DataFrame], DataFrame], path:
     return _table(counts, path).drop("batch"), query
 
 
+def open_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Sessions that a stopped run of `sessions` into `path` still holds as state: those that the watermark has not closed."""
+    state = spark.read.format("statestore").load(f"{path}/state")
+    return state.select(
+        "value.user_id", F.col("value.session_window.start").cast("timestamp_ntz").alias("session_start"),
+        F.col("value.session_window.end").cast("timestamp_ntz").alias("session_end"), F.col("value.count").alias("n"),
+    )
+
+
+def open_counts(spark: SparkSession, path: str, key: str = "event_type") -> DataFrame:
+    """Counts of windows that a stopped run of window counts into `path` still holds as state."""
+    state = spark.read.format("statestore").load(f"{path}/state")
+    return state.select(
+        F.col("key.window.start").cast("timestamp_ntz").alias("window_start"), F.col("key.window.end").cast("timestamp_ntz").alias("window_end"),
+        F.col(f"key.{key}").alias(key), F.col("value.count").alias("n"),
+    )
+
+
 def run_late(events: DataFrame, size: str, delay: str, path: str) -> tuple[DataFrame, StreamingQuery]:
     """The events that windows of `size` under a watermark of `delay` leave out, as rows, with their window's end.
 
@@ -128,7 +155,7 @@ def run_late(events: DataFrame, size: str, delay: str, path: str) -> tuple[DataF
 
     # So that there is something to read before the first batch.
     spark.createDataFrame([], "newest timestamp, batch long").write.mode("overwrite").parquet(f"{path}/seen/part=-1")
-    query = _run(events.writeStream.foreachBatch(store), path, spark.streams)
+    query = _run(events.writeStream.foreachBatch(store), path, spark)
     fields = [*schema.fields, StructField("window_end", TimestampType()), StructField("batch", LongType())]
     return spark.read.schema(StructType(fields)).parquet(f"{path}/late").drop("batch"), query
 

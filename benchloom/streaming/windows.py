@@ -80,14 +80,11 @@ def topk_per_window(counts: DataFrame, k: int, key: str = "event_type") -> DataF
 def sessions(events: DataFrame, gap: str) -> DataFrame:
     """Runs of a user's events at most `gap` apart; a session ends one gap after its last event.
 
-    Events without a time are in no session.
+    Events without a time are in no session. The sinks of this library have a stream merge a user's events in each task
+    first, so that a busy user shuffles sessions.
     """
     events = events.where(F.col("ts").isNotNull())
     if events.isStreaming:
-        # Merge a user's events within each task first, so that a busy user shuffles sessions.
-        events.sparkSession.conf.set(
-            "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-        )
         return (
             events.groupBy(F.session_window("ts", gap).alias("w"), "user_id")
             .agg(F.count("*").alias("n"))

@@ -225,3 +225,27 @@ def test_late_rows_are_told_apart_as_the_window_drops_them(spark, folder):
         dropped += sink.dropped_rows(query)
     assert sorted(r.event_id for r in late.collect()) == [3, 6, 8]
     assert kept.agg(F.sum("n")).first()[0] == 5 and dropped == 3
+
+
+def test_closed_and_open_sessions_are_all_and_settings_stay(spark, folder):
+    before = spark.conf.get(sink.LOCAL_MERGE)
+    rows = sorted(random_events(6), key=lambda r: r[1])
+    for part in (rows[:200], rows[200:]):
+        deliver(spark, folder, part)
+    stream = W.sessions(W.watermarked(events_stream(spark, folder, max_files=1), "1 hour"), "30 minutes")
+    closed, query = sink.run_append(stream, f"{folder}/out")
+    open_ = sink.open_sessions(spark, f"{folder}/out")
+    assert closed.count() and open_.count()
+    assert same(closed.unionByName(open_), W.sessions(event_time(table(spark, rows)), "30 minutes"))
+    assert spark.conf.get(sink.LOCAL_MERGE) == before
+    # Merged before the shuffle.
+    plan = query._jsq.streamingQuery().lastExecution().toString().split("== Physical Plan ==")[1]
+    assert "MergingSessions" in plan[plan.rindex("Exchange"):] or "empty" in plan[plan.rindex("Exchange"):]
+
+
+def test_closed_and_open_counts_are_all(spark, folder):
+    rows = random_events(7)
+    deliver(spark, folder, rows)
+    closed, _ = sink.run_append(W.tumbling_counts(W.watermarked(events_stream(spark, folder), "1 hour"), "6 hours"), f"{folder}/out")
+    everything = closed.unionByName(sink.open_counts(spark, f"{folder}/out"))
+    assert same(everything, W.tumbling_counts(event_time(table(spark, rows)), "6 hours"))
