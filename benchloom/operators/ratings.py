@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from benchloom.functions.columns import uniform
 from benchloom.operators.recommend import top_items
 from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, with_salt
-from benchloom.storage import cut, work_dir
+from benchloom.storage import Scratch, cut, work_dir
 
 
 def _mean_by(ratings: DataFrame, key: str) -> DataFrame:
@@ -200,8 +200,11 @@ def svdpp(
             *[(F.col(a) + F.col(b) / F.sqrt("n")).alias(c) for a, b, c in zip(p, z, pz)],
         )
 
-    for step in range(iters):
-        full = cut(with_implicit(user_state, item_state), f"svdpp-users-{step}")
+    before = None
+    for _ in range(iters):
+        # Tables of a step are read by the next one and then removed.
+        now = Scratch(ratings.sparkSession, "svdpp")
+        full = now.cut(with_implicit(user_state, item_state), "users")
         model = SvdPlusPlus(mean, full, item_state, rank, bounds)
         seen = (
             rows.join(per_salt(item_state.drop("n"), "item", hot_items, "item_slice"), ["item", "item_slice"])
@@ -221,10 +224,10 @@ def svdpp(
             *[(F.col("err") / F.sqrt("n_u") * F.col(c)).alias(f"h{k}") for k, c in enumerate(q)],
         )
         names = ["g", *[f"g{k}" for k in range(rank)], *[f"h{k}" for k in range(rank)]]
-        steps = cut(
+        steps = now.cut(
             seen.select(F.inline(F.array(to_user, to_item))).groupBy("kind", "id")
             .agg(*[F.avg(c).alias(c) for c in names]),
-            f"svdpp-steps-{step}",
+            "steps",
         )
 
         def moved(old: str, gradient: str, reg: float) -> Column:
@@ -235,14 +238,19 @@ def svdpp(
         ).select(
             "user", "n", moved("b_u", "g", reg_bias), *[moved(c, f"g{k}", reg_factor) for k, c in enumerate(p)]
         )
-        item_state = cut(
+        item_state = now.cut(
             item_state.join(steps.where("kind = 1").withColumnRenamed("id", "item"), "item").select(
                 "item", "n", moved("b_i", "g", reg_bias),
                 *[moved(c, f"g{k}", reg_factor) for k, c in enumerate(q)],
                 *[moved(c, f"h{k}", reg_factor) for k, c in enumerate(y)],
             ),
-            f"svdpp-items-{step}",
+            "items",
         )
-    users_out = cut(with_implicit(user_state, item_state), "svdpp-users")
+        if before:
+            before.close()
+        before = now
+    users_out, items_out = cut(with_implicit(user_state, item_state), "svdpp-users"), cut(item_state, "svdpp-items")
+    if before:
+        before.close()
     rows.unpersist()
-    return SvdPlusPlus(mean, users_out, item_state, rank, bounds)
+    return SvdPlusPlus(mean, users_out, items_out, rank, bounds)

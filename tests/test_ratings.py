@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from benchloom.operators import ratings as R
+from benchloom.storage import work_dir
 
 SCHEMA = "user long, item long, rating double"
 
@@ -120,3 +122,16 @@ def test_dense_ids_have_no_gaps(spark):
 def test_als_of_no_ratings_is_a_clear_error(spark):
     with pytest.raises(ValueError, match="ratings"):
         R.fit_als(spark.createDataFrame([], "user long, item long, rating double"))
+
+
+def test_svdpp_leaves_no_tables_of_its_steps(spark):
+    rows = spark.createDataFrame(hot_ratings(), SCHEMA)
+    folder = f"{work_dir(spark)}/benchloom".removeprefix("file:")
+    held = lambda: {n for n in os.listdir(folder) if os.listdir(f"{folder}/{n}")} if os.path.isdir(folder) else set()
+    before = held()
+    left = {}
+    for iters in (1, 4):
+        R.svdpp(rows, rank=2, iters=iters).predict(rows).count()
+        left[iters] = len(held() - before)
+        before = held()
+    assert left[1] == left[4]
