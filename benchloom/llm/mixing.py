@@ -186,8 +186,9 @@ def mix(
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents that a mix takes, once each, with the columns they came with and `copies`.
 
-    A document is in if it is taken at all. Rows with the same id share the highest count.
+    A document is in if it is taken at all. Rows with the same id share the highest count. Beside a column `copies` of
+    the documents the new one has an underscore before its name.
     """
-    name = fresh("copies", docs.columns)
-    dealt = mix(docs, doc_id, **options).groupBy(F.col("doc_id").alias("_mixed")).agg(F.max("taken").alias("_taken"), F.max("copies").alias(name))
-    return docs.join(dealt, docs[doc_id].eqNullSafe(F.col("_mixed"))).where(F.col("_taken") > 0).drop("_mixed", "_taken")
+    name, of, taken = (fresh(c, docs.columns) for c in ("copies", "of", "taken"))
+    dealt = mix(docs, doc_id, **options).groupBy(F.col("doc_id").alias(of)).agg(F.max("taken").alias(taken), F.max("copies").alias(name))
+    return docs.join(dealt, docs[doc_id].eqNullSafe(F.col(of))).where(F.col(taken) > 0).drop(of, taken)

@@ -95,14 +95,14 @@ def top_k(
 
     Ties go to the smaller id. Rows that share a query's id are its own and no candidates. Vectors
     that are NULL or hold NULL or a non-finite component, and rows without id, take no part;
-    neither do candidates of another dimension than the query. Repeated rows count as
-    often as they stand there; a query id that stands twice with different vectors is two queries,
-    which the result cannot tell apart. Empty vectors score 0. No queries or no candidates: no rows.
+    neither do candidates of another dimension than the query. Repeated candidates count as
+    often as they stand there; a repeated query is one query, but a query id that stands twice with different
+    vectors is two, which the result cannot tell apart. Empty vectors score 0. No queries or no candidates: no rows.
     """
     def rows(df: DataFrame) -> DataFrame:
         return df.select(F.col(vec_id).cast("long").alias("id"), quantized(vector, scale).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
 
-    asked, searched = rows(queries), rows(candidates)
+    asked, searched = rows(queries).distinct(), rows(candidates)
     n_blocks, n_shards = parts_for(asked.count(), query_block), parts_for(searched.count(), shard_rows)
     # A hash of the id and a draw per row: rows that share an id do not share a block.
     asked_packed = _pack(asked, F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks)), "block")

@@ -182,3 +182,10 @@ def test_pipeline_stages(spark):
         docs = out
     assert counts == sorted(counts, reverse=True) and counts[-1] > 100
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_a_repeated_query_is_one_query(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.1, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id) for r in topk.top_k(table.where("vec_id = 20"), table, k=2).collect()]
+    assert sorted(got) == [(1, 1), (2, 2)]

@@ -313,3 +313,11 @@ def test_mixing(docs, spark):
     assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
     assert mixing.mix(docs([], "doc_id long, text string, source string")).count() == 0
     assert "copies" in mixing.mixed_documents(frame).columns
+
+
+def test_mixed_documents_beside_clashing_names(docs):
+    rows = [(k, f"word {k}", "ab"[k % 2], 1, 2, 3) for k in range(8)]
+    frame = docs(rows, "doc_id long, text string, source string, `of` int, taken int, copies int")
+    got = mixing.mixed_documents(frame)
+    assert got.columns == [*frame.columns, "_copies"] and 0 < got.count() <= 8
+    assert got.where("`of` <> 1 OR taken <> 2 OR copies <> 3").isEmpty()
