@@ -8,8 +8,8 @@
 3. Merge. What is left are stretches of documents. Each is a shard with its own
    transform: the bytes before each of its suffixes. All shards start in one
    interleave that knows nothing, and each refinement sorts it, stably, by the symbol before its
-   suffixes: an interleave right to depth k becomes one right to that much more. Blocks of suffixes with
-   one prefix are kept along, so their common prefixes are known; suffixes alone in their
+   suffixes: an interleave right to depth k becomes one right to that much more. Its own blocks are the symbols of the
+   next refinement, so ten of them reach 400 bytes. Blocks of suffixes with one prefix are kept along, so their common prefixes are known; suffixes alone in their
    block are settled and leave. What stays to depth `length` are the repeated intervals.
    First a home merges its own stretches. Then one string of each of its classes goes to where strings with the same
    least anchor meet, whatever their homes: neighbours with one anchor as one stretch. There the same merge decides.
@@ -33,11 +33,9 @@ from benchloom.llm.frames import fresh, parts_for
 
 LENGTH = 400
 GRAM, WINDOW = 24, 40
-# Bytes of a symbol once the merge is that deep.
-WIDE = 16
 HOME_BYTES = 4 << 20
 # Bytes of stretches that are merged at a time; those of one anchor stay together.
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 1 << 20
 # An anchor in more homes than this is common.
 COMMON_HOMES = 64
 BUCKET_ENTRIES = 1_500_000
@@ -66,13 +64,12 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc, fill: np.uint64) ->
 class _Piece:
     """Some texts of a home, few enough that their arrays stay in the processor's cache."""
 
-    def __init__(self, texts: pa.Array, copies: np.ndarray, length: int) -> None:
-        self.length = length
+    def __init__(self, texts: pa.Array, copies: np.ndarray, length: int, step: np.ndarray, back: np.ndarray) -> None:
+        self.length, self.back = length, back
         self.flat, self.bounds = text_bytes(texts)
         n = len(self.flat)
-        self.end = np.repeat(self.bounds[1:], np.diff(self.bounds))
-        self.back = powers(_BACK, n)
-        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_HASH[self.flat] * powers(_STEP, n)[:n])))
+        self.end = np.repeat(self.bounds[1:].astype(np.int32), np.diff(self.bounds))
+        self.sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_HASH[self.flat] * step[:n])))
         place = np.arange(n)
         grams = np.full(n, _MOST, U64)
         inside = place + GRAM <= self.end
@@ -118,7 +115,10 @@ class _Home:
         self.keys, self.copies, self.length = table["key"], table["n"].to_numpy(), length
         texts = table["text"].combine_chunks()
         self.ranges = list(pieces(texts, _PIECE))
-        self.pieces = [_Piece(texts.slice(a, b - a), self.copies[a:b], length) for a, b in self.ranges]
+        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        longest = max((int(sizes[b] - sizes[a]) for a, b in self.ranges), default=0)
+        step, back = powers(_STEP, longest), powers(_BACK, longest)
+        self.pieces = [_Piece(texts.slice(a, b - a), self.copies[a:b], length, step, back) for a, b in self.ranges]
         anchors = np.concatenate([p.anchors for p in self.pieces])
         self.values, n_each = np.unique(anchors, return_counts=True)
         self.often = (n_each > 1) | np.isin(self.values, anchors[np.concatenate([p.copied for p in self.pieces])])
@@ -149,12 +149,20 @@ def _stretches(home: _Home, starts: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return (np.concatenate(flats) if flats else np.zeros(0, np.uint8)), (np.concatenate(ends) if ends else none), (np.concatenate(places) if places else none)
 
 
+def _steps(length: int) -> list[int]:
+    """By how many bytes each refinement deepens the interleave: pairs first, then doubling, then what is left of `length`."""
+    top = 1 << (length.bit_length() - 1)
+    doubling = [1 << k for k in range(1, top.bit_length() - 1)]
+    return [2, *doubling, *(1 << k for k in reversed(range(top.bit_length() - 1)) if (length - top) >> k & 1)]
+
+
 def repeated_classes(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     """Numbers the classes of equal strings of `length` bytes in the given stretches, at each start; 0 for a string that occurs once.
 
-    Every stretch is a shard. The interleave begins in shard order; a step goes from each suffix to the one that is a symbol
-    longer and sorts by that symbol, stably, which keeps the order of what follows. Symbols are two
-    bytes at first and WIDE bytes later.
+    Every stretch is a shard. The interleave begins in shard order; a refinement goes from each suffix to the one that is a
+    symbol longer and sorts by that symbol, stably, which keeps the order of what follows. Symbols are two bytes at first. Blocks
+    of an interleave right to depth d rank all strings of d bytes that occur twice, so they are the symbols of d bytes from there
+    on, and a suffix preceded by another string is alone.
     """
     n = len(flat)
     found = np.zeros(n, np.int32)
@@ -162,19 +170,19 @@ def repeated_classes(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndar
         return found
     sizes = np.diff(np.concatenate(([0], ends)))
     begin_of = np.repeat(ends - sizes, sizes).astype(np.int32)
-    end_of = np.repeat(ends, sizes).astype(np.int32)
-    symbols = np.zeros(n, np.uint16)
-    symbols[:-1] = flat[:-1].astype(np.uint16) << 8 | flat[1:]
-    place = np.arange(n, dtype=np.int32)
-    rows = place[place + 2 <= end_of]
+    pairs = np.zeros(n, np.uint16)
+    pairs[:-1] = flat[:-1].astype(np.uint16) << 8 | flat[1:]
+    ranks = {2: pairs}
+    rows = np.arange(n, dtype=np.int32)
+    rows = rows[rows + 2 <= np.repeat(ends, sizes)]
     block = np.zeros(len(rows), np.int32)
-    depth, step = 2, 2
-    while True:
-        before = symbols[rows]
-        # By the low and then the high half: both sorts are stable and by two bytes.
+    steps, depth = _steps(length), 0
+    for at, step in enumerate(steps):
+        before = ranks[step][rows]
+        # By the low and, where there are that many symbols, by the high half: both sorts are stable and by two bytes.
         order = np.argsort(before.astype(np.uint16), kind="stable")
-        if step > 2:
-            order = order[np.argsort((before[order] >> 16).astype(np.uint16), kind="stable")]
+        if step > 2 and len(before) and before.max() >> 16:
+            order = order[np.argsort((before >> 16).astype(np.uint16)[order], kind="stable")]
         rows, before, block = rows[order], before[order], block[order]
         new = np.ones(len(rows), bool)
         new[1:] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
@@ -182,19 +190,19 @@ def repeated_classes(flat: np.ndarray, ends: np.ndarray, length: int) -> np.ndar
         several = ~(new & np.concatenate((new[1:], [True])))
         block = np.cumsum(new, dtype=np.int32)[several]
         rows = rows[several]
+        depth += step
+        later = steps[at + 1:]
         if depth >= length or not len(rows):
             break
-        if depth == WIDE and length % WIDE == 0:
-            # The blocks at this depth rank all strings of that many bytes that occur twice: from here
-            # on they are the symbols, and what is preceded by another string is alone.
-            symbols, step = np.zeros(n, np.int32), WIDE
-            symbols[rows] = block
-        depth += step
+        ranks = {w: r for w, r in ranks.items() if w in later}
+        if depth in later:
+            ranks[depth] = np.zeros(n, np.int32)
+            ranks[depth][rows] = block
         # Suffixes at the front of their shard have no bytes before them.
-        ahead = rows - step
+        ahead = rows - later[0]
         alive = ahead >= begin_of[rows]
-        if step > 2:
-            alive &= symbols[np.maximum(ahead, 0)] > 0
+        if later[0] > 2:
+            alive &= ranks[later[0]][np.maximum(ahead, 0)] > 0
         rows, block = ahead[alive], block[alive]
     found[rows] = block
     return found
@@ -280,8 +288,7 @@ def _merge(length: int):
         order = np.argsort(anchors, kind="stable")
         total = np.cumsum(sizes[order])
         last = np.flatnonzero(np.concatenate((anchors[order][1:] != anchors[order][:-1], [True]))) + 1
-        found: dict[int, list[np.ndarray]] = {}
-        lo = 0
+        found, lo = [np.zeros((0, 2), np.int64)], 0
         while lo < len(order):
             # As many whole groups as fit, at least one.
             fits = np.searchsorted(total[last - 1], (total[lo - 1] if lo else 0) + MERGE_BYTES, side="right")
@@ -296,12 +303,13 @@ def _merge(length: int):
             classes = repeated_classes(bytes_of, ends, length)[marked]
             twice = marked[(np.bincount(classes, minlength=1)[classes] > 1) & (classes > 0)]
             run = np.searchsorted(ends, twice, side="right")
-            starts = twice - (ends - sizes[mine])[run] + begins[mine[run]]
-            for home in np.unique(of[mine[run]]):
-                found.setdefault(int(home), []).append(starts[of[mine[run]] == home])
+            found.append(np.column_stack((of[mine[run]], twice - (ends - sizes[mine])[run] + begins[mine[run]])))
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        named, first = np.unique(found[:, 0], return_index=True)
         return pa.table({
-            "home": pa.array(list(found), pa.int64()),
-            "intervals": pa.array([_intervals(np.sort(np.concatenate(f))).tobytes() for f in found.values()], pa.binary()),
+            "home": pa.array(named, pa.int64()),
+            "intervals": pa.array([_intervals(f).tobytes() for f in np.split(found[:, 1], first[1:])][:len(named)], pa.binary()),
         })
 
     return merged
