@@ -215,7 +215,7 @@ def _sampler(other: float) -> Sampler:
 
 
 def signatures(docs: DataFrame, weights: Weights, doc_id: str, text: str) -> DataFrame:
-    """(id, content, second, total, bands) of each document: hashes of its words, weight of its set, band keys."""
+    """(id, written, content, second, total, bands) of each document: hashes of its text and its words, weight of its set, band keys."""
     known = docs.sparkSession.sparkContext.broadcast((weights.frequent, weights.idf, weights.other))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +231,12 @@ def signatures(docs: DataFrame, weights: Weights, doc_id: str, text: str) -> Dat
                     for text_row, keys in zip(np.unique(row), _sampler(weigh.other).bands(row, hashes, weight, hi - lo).view(np.int64), strict=True):
                         bands[text_row] = keys
                 yield pa.RecordBatch.from_arrays([
-                    whole.column("id").slice(lo, hi - lo), pa.array(content), pa.array(second), pa.array(total), pa.array(bands, pa.list_(pa.int64())),
-                ], names=["id", "content", "second", "total", "bands"])
+                    whole.column("id").slice(lo, hi - lo), whole.column("written").slice(lo, hi - lo),
+                    pa.array(content), pa.array(second), pa.array(total), pa.array(bands, pa.list_(pa.int64())),
+                ], names=["id", "written", "content", "second", "total", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        signed, "id long, content long, second long, total double, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("written"), F.col(text).alias("text")).mapInArrow(
+        signed, "id long, written long, content long, second long, total double, bands array<long>")
 
 
 def _similarity(weigh: Weights, left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -259,9 +260,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, similar: float) -> tuple[D
     signed = cut(signatures(docs, weights, doc_id, text), "near-signatures")
     wordy = signed.where(F.size("bands") > 0)
     # One document stands for all with the same words.
-    groups = wordy.groupBy("content", "second").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("bands").alias("bands"))
+    groups = wordy.groupBy("content", "second").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "written")).alias("x"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("bands").alias("bands"))
     with Scratch(docs.sparkSession, "near") as scratch:
-        groups = scratch.cut(groups.withColumn("rep", F.xxhash64("content", "second")), "groups")
+        groups = scratch.cut(groups.select("*", "x.id", "x.written", F.xxhash64("content", "second").alias("rep")).drop("x"), "groups")
         banded = groups.select("rep", "total", F.explode("bands").alias("key"))
         shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         buckets = scratch.cut(banded.join(shared, "key"), "buckets")
@@ -300,7 +301,7 @@ def _links(scratch: Scratch, docs: DataFrame, groups: DataFrame, buckets: DataFr
     """Verified links (a, b) between documents that share a bucket, enough to connect each class."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast((weights.frequent, weights.idf, weights.other))
-    wanted = groups.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("of"))
+    wanted = groups.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("id").alias("of"), "written")
 
     def with_rep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -309,8 +310,10 @@ def _links(scratch: Scratch, docs: DataFrame, groups: DataFrame, buckets: DataFr
                 content, second = _content(words(batch.column("text"), _WORDS))
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("text"), pa.array(content), pa.array(second)], names=["rep", "text", "content", "second"])
 
-    # An id may stand for several texts; the hash of the words tells which one is meant.
-    found = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("of"))) \
+    # An id, or none, may stand for many texts: the hash of the text is part of the key, so that they do not all meet. That of the
+    # words decides.
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+    found = rows.join(wanted, (F.col("own") == F.col("written")) & F.col("id").eqNullSafe(F.col("of"))).select("rep", "text") \
         .mapInArrow(with_rep, "rep long, text string, content long, second long").where(F.xxhash64("content", "second") == F.col("rep"))
     texts = scratch.cut(found.select("rep", "text"), "texts")
     # Rows may repeat an id and its text.

@@ -270,6 +270,18 @@ def test_near_duplicates_edges(docs):
     assert near.near_duplicates(docs([])).count() == 0
 
 
+def test_near_duplicates_of_many_texts_without_id(docs):
+    """The third of the rows without an id: each text is found by its own hash, copies and near copies too."""
+    texts = [prose(300 + k, 60) for k in range(12)]
+    rows = [(None, " ".join(t)) for t in texts for _ in range(3)] + [(None, " ".join([*t[:-1], "changed"])) for t in texts[:4]]
+    rows += [(k, " ".join(prose(400 + k, 60))) for k in range(40)] + [(5, " ".join(texts[7])), (5, " ".join(texts[8][:-1]))]
+    got = Counter((r.doc_id, r.class_id, r.class_size) for r in near.near_duplicates(docs(rows)).collect())
+    want = Counter({(None, None, 4): 16, (None, None, 3): 18, (None, 5, 4): 6, (5, 5, 4): 2})
+    want.update((k, k, 1) for k in range(40))
+    assert got == want
+    assert near.one_of_each(docs(rows)).count() == 12 + 40
+
+
 def test_frequent_shingles_weigh_less(docs):
     boiler = prose(13, 60)
     rows = [(k, " ".join(boiler + prose(1000 + k, 40))) for k in range(150)]
