@@ -19,9 +19,8 @@ from benchloom.llm.arrays import pieces, text_bytes
 from benchloom.llm.frames import fresh
 from benchloom.storage import cut
 
-# Most training texts per language, and most languages. Both bound what is fitted, not what is scored.
+# About the most training texts per language that centroids are fitted to.
 TEXTS_PER_LANGUAGE = 1500
-MOST_LANGUAGES = 500
 SLOTS = 4096
 CENTROIDS = 4
 # Share of a language's own training texts that lie beyond the distance of rejection.
@@ -93,16 +92,33 @@ class LanguageModel:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Centroids of each language of the given training rows; None if no row has both text and language.
 
-    At most about TEXTS_PER_LANGUAGE texts of each of the MOST_LANGUAGES most frequent languages are
-    used, chosen by a hash of the id. Texts without a letter teach nothing.
+    Document frequencies are those of all given texts. Centroids are fitted to about TEXTS_PER_LANGUAGE texts of each
+    language at most, chosen by a hash of the id; rows that agree in id, text and language are one there. Every language is
+    learnt, however rare: the model takes some 64 KB for each. Texts without a letter teach nothing.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).toPandas()
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for lo, hi in pieces(whole.column("text"), rows=_ROWS):
+                total += (trigrams(whole.column("text").slice(lo, hi - lo)) > 0).sum(axis=0)
+        filled = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array(total[filled])], names=["slot", "n"])
+
+    keyed = F.xxhash64(F.lit("language"), "id", "text")
+    # A row that is repeated counts once in the share to draw, or a language of such rows could be missed.
+    distinct = known.groupBy("lang", keyed.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).orderBy("lang").toPandas()
     if counts.empty:
         return None
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id", "text"), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for n, c in zip(counts["lang"], counts["count"], strict=True) for x in (n, min(1.0, TEXTS_PER_LANGUAGE / c))])
-    chosen = known.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0)) * (1 << 30))
+    frequencies = known.select("text").mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(SLOTS, np.int64)
+    df[frequencies["slot"]] = frequencies["n"]
+    idf = (np.log((1 + counts["n"].sum()) / (1 + df)) + 0.05).astype(np.float32)
+    draw = F.pmod(keyed, F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for n, c in zip(counts["lang"], counts["rows"], strict=True) for x in (n, min(1.0, TEXTS_PER_LANGUAGE / c))])
+    chosen = known.where(draw < share[F.col("lang")] * (1 << 30)).dropDuplicates()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,19 +129,6 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     rows = cut(chosen.mapInArrow(vectors, "lang string, v binary"), "language-sample")
 
-    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.int64)
-        n = 0
-        for frame in batches:
-            for v in frame["v"]:
-                total += np.frombuffer(v, np.float16) > 0
-                n += 1
-        yield pd.DataFrame({"n": [n], "df": [total.tobytes()]})
-
-    parts = rows.select("v").mapInPandas(seen, "n long, df binary").toPandas()
-    df = np.sum([np.frombuffer(x, np.int64) for x in parts["df"]], axis=0)
-    idf = (np.log((1 + parts["n"].sum()) / (1 + df)) + 0.05).astype(np.float32)
-
     def clustered(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         mine = unit(np.array([np.frombuffer(v, np.float16) for v in frame["v"]]).astype(np.float32) * idf)
         centers = spherical_means(mine, CENTROIDS)

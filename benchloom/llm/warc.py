@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from benchloom.llm.frames import parts_for
+from benchloom.operators import skew
 from benchloom.storage import cut, new_path
 
 # Bytes of records in one archive file, which is read as one value, and captures in one range of the index.
@@ -44,8 +45,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Pages as WARC records: page_id, payload_bytes, payload_digest, record_type, refers_to, url, ts, html.
 
     Of pages with one payload of at least 100 bytes the smallest page_id (NULL last) is the response,
-    the rest revisit it. Digests alone are shuffled, after one smallest id per digest and
-    task; pages keep their place. Pages that repeat the response's id are responses too.
+    the rest revisit it. Payloads that occur twice are looked up by digest: broadcast if they are few, else by a shuffle of the
+    pages that cuts frequent digests into slices. Pages that repeat the response's id are responses too.
     NULL html is an empty payload. Without a time column, page n was captured n seconds into 2024.
     """
     time = F.col(at) if at else F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col(page_id), F.lit(0)))
@@ -53,12 +54,18 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), time.alias("ts"),
         F.coalesce(F.col(html), F.lit("")).alias("html"),
     ).select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("payload_digest"))
-    seen = (
-        base.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("d"))
-        .agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    )
+    long = F.col("payload_bytes") >= LEAST_REVISIT
+    seen = cut(base.where(long).groupBy("payload_digest").agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1"), "payloads")
+    if skew.is_small(seen):
+        found = base.join(F.broadcast(seen.drop("n")), "payload_digest", "left")
+    else:
+        hot = skew.hot_keys(seen, "payload_digest")
+        # Short payloads have nothing to look up; a frequent one, such as the empty one, is dealt out by page.
+        sliced = skew.with_salt(base, "payload_digest", hot, ["page_id"], "slice").withColumn(
+            "slice", F.when(long, F.col("slice")).otherwise(-1 - F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)).cast("int")))
+        found = sliced.join(skew.per_salt(seen.drop("n"), "payload_digest", hot, "slice"), ["payload_digest", "slice"], "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return base.join(seen, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") >= LEAST_REVISIT), "left").select(
+    return found.select(
         "page_id", "url", "ts", "html", "payload_bytes", "payload_digest",
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
         F.when(revisit, F.col("response")).alias("refers_to"),
@@ -243,8 +250,9 @@ def merged_index(captures: DataFrame) -> DataFrame:
     offsets = sizes.select(F.col("range").alias("r"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     placed = merged.join(offsets, F.col("range") == F.col("r")).withColumn("history_seq", F.col("before") + F.col("place") + 1)
     placed = cut(placed.drop("r", "before", "place", "range"), "capture-index")
-    starts = placed.groupBy(F.col("url_key").alias("k")).agg(F.min("history_seq").alias("start"))
-    return placed.join(starts, F.col("url_key") == F.col("k")).withColumn("capture_no", F.col("history_seq") - F.col("start") + 1).drop("k", "start")
+    starts = cut(placed.groupBy("url_key").agg(F.min("history_seq").alias("start"), F.count(F.lit(1)).alias("n")), "url-starts")
+    numbered = skew.lookup_join(placed, starts, "url_key", ["history_seq"])
+    return numbered.select(*columns, "history_seq", (F.col("history_seq") - F.col("start") + 1).alias("capture_no"))
 
 
 def archive_history(pages: DataFrame, **options) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,39 @@ def odd_rows(spark, docs):
     return docs.unionByName(spark.createDataFrame([(-1, None, None, None, None), (-2, "", "", "", 0), (-3, "123 !!", "en", "s", 6), (None, "x", None, "s", 1)], docs.schema))
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_archives_with_hot_payload_and_url(spark, monkeypatch, most):
+    """A third of all pages have one payload and one url, a third are empty; lookups by broadcast and by slices agree."""
+    monkeypatch.setattr(warc.skew, "BROADCAST_ROWS", most)
+    error = "<html>" + "not found " * 20
+    rows = [(k, "http://a.org/e", error) for k in range(100)] + [(200 + k, f"http://b.org/{k}", None) for k in range(100)]
+    rows += [(400 + k, f"http://c.org/{k % 50}", f"<p>{k % 80} " + "x" * 120) for k in range(100)]
+    got = warc.archive_history(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    first, seen = {}, {}
+    for k, _, html in rows:
+        if len(html or "") >= 100:
+            first.setdefault(html, k)
+    for k, url, html in rows:
+        of = first.get(html)
+        seen.setdefault(url, []).append(k)
+        want = ("revisit", of) if of is not None and of != k else ("response", None)
+        row = next(r for r in got if r.page_id == k)
+        assert (row.record_type, row.refers_to, row.payload_bytes, row.capture_no) == (*want, len(html or ""), len(seen[url]))
+    assert sorted(r.history_seq for r in got) == list(range(1, 301))
+
+
+def test_language_frequencies_are_those_of_all_texts(spark, tables, monkeypatch):
+    """Centroids take a sample; document frequencies take every training text, and every language is learnt."""
+    monkeypatch.setattr(language, "TEXTS_PER_LANGUAGE", 15)
+    docs = tables["documents"].select("doc_id", "text", "lang").union(spark.createDataFrame(
+        [(-1 - i, f"zq xqj {i} qzx", f"rare{i}") for i in range(3)] + [(-9, "qqq same", "hot")] * 60, "doc_id long, text string, lang string"))
+    model = language.fit(docs)
+    known = [r.text for r in docs.collect() if r.lang is not None and any(c.isalpha() for c in r.text or "")]
+    df = sum((language.trigrams(pa.array([t])) > 0)[0].astype(int) for t in known)
+    assert np.allclose(model.idf, np.log((1 + len(known)) / (1 + df)) + 0.05, atol=1e-5)
+    assert {"hot", "rare0", "rare1", "rare2"} <= set(model.languages)
+
+
 def test_language_held_out_accuracy(spark, tables):
     docs = odd_rows(spark, tables["documents"])
     model = language.fit(docs.where(~held_out()))
