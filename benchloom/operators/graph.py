@@ -13,6 +13,9 @@ from benchloom.storage import cut
 # Random edges that are drawn from one array at a time.
 BLOCK = 10_000
 
+# Random edges that one task draws, in the mean.
+EDGES_PER_TASK = 1_000_000
+
 # Draws of a random degree that are tried.
 DRAWS = 16
 
@@ -210,7 +213,7 @@ def lognormal_edges(vertices: DataFrame, n: int, mu: float = 4.0, sigma: float =
 
     A degree of n or more is drawn again, up to `DRAWS` times; only if all of these were (n lies far below the bulk of
     the distribution) any degree below n is as likely as another. `vertices` has a column `id` with the sources to draw for. Draws depend on the ids and the
-    seed only.
+    seed only. Sources are dealt to tasks by the edges expected of them, as their own files may be few.
     """
     def drawn(turn: int) -> Column:
         u1, u2 = (uniform(seed, F.lit(c), F.col("id"), F.lit(turn)) for c in "ab")
@@ -219,11 +222,13 @@ def lognormal_edges(vertices: DataFrame, n: int, mu: float = 4.0, sigma: float =
     # The first draw below n: the distribution is cut off there and does not pile up.
     kept = F.coalesce(*[F.when(drawn(k) < n, drawn(k)) for k in range(DRAWS)], F.floor(uniform(seed, F.lit("c"), F.col("id")) * n))
     degree = kept.cast("long")
+    expected = vertices.count() * min(math.exp(mu + sigma * sigma / 2), float(n))
+    parts = max(1, math.ceil(expected / EDGES_PER_TASK))
     # Explode in two steps, so that a vertex of very high degree is never one huge array.
     blocks = F.sequence(F.lit(1), F.col("degree"), F.lit(BLOCK))
     block = F.sequence(F.col("first"), F.least(F.col("first") + (BLOCK - 1), F.col("degree")))
     return (
-        vertices.select("id", degree.alias("degree")).where("degree > 0")
+        vertices.select("id").repartition(parts, "id").select("id", degree.alias("degree")).where("degree > 0")
         .select("id", "degree", F.explode(blocks).alias("first"))
         .select("id", F.explode(block).alias("k"))
         .select(F.col("id").alias("src"),

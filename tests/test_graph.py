@@ -195,3 +195,11 @@ def test_lognormal_degree_beyond_one_block(spark, monkeypatch):
     blocks = graph.lognormal_edges(spark.range(50), 50, mu=4.0)
     assert whole.exceptAll(blocks).isEmpty() and blocks.exceptAll(whole).isEmpty()
     assert 30 < whole.groupBy("src").count().agg(F.max("count")).first()[0] <= 49
+
+
+def test_lognormal_edges_are_drawn_in_as_many_tasks_as_they_call_for(spark, monkeypatch):
+    whole = graph.lognormal_edges(spark.range(200).coalesce(1), 200, mu=2.0, sigma=0.8, seed=3)
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 100, raising=False)
+    dealt = graph.lognormal_edges(spark.range(200).coalesce(1), 200, mu=2.0, sigma=0.8, seed=3)
+    assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() > 10
+    assert dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
