@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.operators import ratings as R
+from benchloom.operators import ratings as R, skew
 from benchloom.storage import work_dir
+from conftest import plan_of
 
 SCHEMA = "user long, item long, rating double"
 
@@ -135,3 +136,18 @@ def test_svdpp_leaves_no_tables_of_its_steps(spark):
         left[iters] = len(held() - before)
         before = held()
     assert left[1] == left[4]
+
+
+def test_als_blocks_grow_with_the_ratings_and_no_faster_than_tasks_need(spark):
+    assert R.als_blocks(3_600_000) == R.als_blocks(36_000_000) == 10
+    assert 10 < R.als_blocks(216_000_000) < 20 and R.als_blocks(2_160_000_000) > 100
+
+
+def test_als_scores_pairs_as_the_model_does_in_two_joins(spark, no_auto_broadcast, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", -1)
+    frame = spark.createDataFrame([*planted(), (1, 1, None), (10**9, 1, 2.0)], SCHEMA)
+    fitted = R.fit_als(frame.where("user < 1000"), rank=4, iters=3)
+    scored = fitted.score(frame)
+    want = fitted.model.transform(fitted.numbered(frame)).select(scored.columns)
+    assert scored.exceptAll(want).isEmpty() and want.exceptAll(scored).isEmpty() and scored.count() > 100
+    assert plan_of(scored).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") <= 4
