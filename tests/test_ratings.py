@@ -151,3 +151,24 @@ def test_als_scores_pairs_as_the_model_does_in_two_joins(spark, no_auto_broadcas
     want = fitted.model.transform(fitted.numbered(frame)).select(scored.columns)
     assert scored.exceptAll(want).isEmpty() and want.exceptAll(scored).isEmpty() and scored.count() > 100
     assert plan_of(scored).split("== Physical Plan ==")[1].count("Exchange hashpartitioning") <= 4
+
+
+def test_svdpp_shuffles_sums_of_cells_and_not_ratings(spark, no_auto_broadcast, monkeypatch):
+    """Several cells give what one gives, a step groups the cells, and their side grows with the root of the ratings."""
+    rows = [*hot_ratings(3), *[(u, i, None if i == 3 else float(u % 5)) for u in range(100, 140) for i in range(1, 25)], (None, 3, 1.0), (5, None, 1.0)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for cell in (10**6, 200):
+        monkeypatch.setattr(R, "RATINGS_PER_CELL", cell)
+        monkeypatch.setattr(R, "RATINGS_AT_ONCE", cell)
+        model = R.svdpp(frame, rank=2, iters=2, rate=0.3, bounds=(0.0, 5.0))
+        got[cell] = {(r.user, r.item): r.prediction for r in model.predict(frame).collect()}
+        assert len(got[cell]) == len({(u, i) for u, i, _ in rows if u and i})
+    assert R.cell_side(len(rows)) > 2 and all(abs(x - got[200][k]) < 1e-9 for k, x in got[10**6].items())
+    counted, plain = [], R.Scratch.cut
+    monkeypatch.setattr(R.Scratch, "cut", lambda self, df, name: counted.append((name, plan_of(df))) or plain(self, df, name))
+    R.svdpp(frame, rank=2, iters=1, rate=0.3, bounds=(0.0, 5.0))
+    plan = dict(counted)["steps"].split("== Physical Plan ==")[1].split("InMemoryRelation")[0]
+    assert "FlatMapCoGroupsInArrow" in plan
+    monkeypatch.undo()
+    assert [R.cell_side(n) for n in (0, 600_000, 3_600_000, 36_000_000, 216_000_000)] == [1, 2, 3, 3, 8]
