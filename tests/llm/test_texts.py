@@ -159,6 +159,13 @@ def test_suffix_merge_between_homes(common):
         assert [k for a, b in got.get(i, []) for k in range(a, b + 1)] == want and want
 
 
+def test_a_home_keeps_little_beside_its_bytes():
+    texts = [" ".join(prose(80 + i, 9000)) for i in range(20)]
+    home = suffixes._Home(pa.table({"key": [str(i) for i in range(20)], "n": [1] * 20, "text": texts}), 400)
+    kept = [x.nbytes for p in home.pieces for name, x in vars(p).items() if name not in ("step", "back") and isinstance(x, np.ndarray)]
+    assert sum(kept) < 5 * sum(len(t.encode()) for t in texts)
+
+
 def test_without_repeats_keeps_columns(docs):
     shared = " ".join(prose(7, 200))
     rows = [(1, "a " + shared, "s"), (2, "b " + shared, "t"), (3, None, "u"), (4, "é", "v")]
