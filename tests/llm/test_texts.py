@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from benchloom.llm import decontaminate, mixing, near, repeats, suffixes
 from benchloom.llm.workers import importable
 
@@ -297,6 +298,66 @@ def test_frequent_shingles_weigh_less(docs):
     assert {r.class_size for r in near.near_duplicates(docs(rows)).collect()} == {1}
 
 
+def weighed_by_all_frequencies(rows, total):
+    """Weighted Jaccard similarity under sqrt(log(1 + documents / df)) of every shingle."""
+    sets = [shingled(t) for _, t in rows]
+    df = Counter(s for x in sets for s in x)
+    idf = {s: math.sqrt(math.log1p(total / n)) for s, n in df.items()}
+    return lambda i, j: sum(idf[s] * n for s, n in (sets[i] & sets[j]).items()) / sum(idf[s] * n for s, n in (sets[i] | sets[j]).items())
+
+
+@pytest.mark.parametrize(("home", "bucket", "block"), [(4 << 20, 1_500_000, 128), (2000, 300, 8)])
+def test_near_duplicates_by_all_document_frequencies(docs, monkeypatch, home, bucket, block):
+    """Every shingle weighs by its own document frequency, whether its documents are in one home or in many."""
+    for name, value in (("HOME_BYTES", home), ("BUCKET_SHINGLES", bucket), ("BLOCK", block)):
+        monkeypatch.setattr(near, name, value)
+    base, rows = prose(11, 120), []
+    for k in range(60):
+        words, draw = list(base), random.Random(k)
+        for _ in range(1 + k % 3):
+            words[draw.randrange(120)] = f"new{k % 2}"
+        rows.append((k, " ".join(words)))
+    rows += [(100 + k, " ".join(prose(50 + k, 80) + ["again and"] * (k % 4))) for k in range(20)] + [(201, rows[0][1]), (201, rows[0][1])]
+    rows += [(300 + k, " ".join(prose(90 + k // 2, 70)[:70 - k % 2])) for k in range(16)]
+    # Rows without words are documents too.
+    empty = [(400, None), (None, None), (401, "  "), (None, "  ")]
+    weigh, label = weighed_by_all_frequencies(rows, len(rows + empty)), list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and weigh(i, j) >= 0.8 - 1e-9:
+                label = [label[j] if x == label[i] else x for x in label]
+    members = {x: [key for (key, _), y in zip(rows, label, strict=True) if x == y] for x in set(label)}
+    want = Counter((key, min(m), len(m)) for m in members.values() for key in m)
+    sizes = sorted(map(len, members.values()))
+    assert len(sizes) > 30 and sizes[-1] > 9
+    got = near.near_duplicates(docs(rows + empty), common=None).collect()
+    alone = Counter([(400, 400, 1), (None, None, 1), (401, 401, 1), (None, None, 1)])
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == want + alone
+    assert near.near_duplicates(docs([]), common=None).count() == 0
+
+
+def test_frequencies_of_all_shingles_are_exact(docs, monkeypatch):
+    monkeypatch.setattr(near, "HOME_BYTES", 500)
+    monkeypatch.setattr(near, "BUCKET_SHINGLES", 50)
+    texts = [" ".join(prose(k % 7, 20 + k % 5)) for k in range(40)] + ["one two", "One  TWO", "", None, " ".join(prose(1, 22))]
+    frame = docs(list(enumerate(texts)))
+    signed = near.text_signatures(frame, near.Weights(np.zeros(0), np.zeros(0), 2.0, len(texts)), "text").collect()
+    assert len(signed) == len(set(texts) - {None})
+    df = Counter(s for t in texts if t and t.strip() for s in shingled(t))
+    by_own = {hashlib.sha256(t.encode()).digest(): t for t in texts if t is not None}
+    for r in signed:
+        found = np.frombuffer(r.frequencies, np.int64).tolist()
+        text = by_own[bytes(r.own)]
+        assert sorted(found) == sorted(df[s] for s in shingled(text)) if text.strip() else found == []
+
+
+def test_pipeline_weighs_a_shingle_of_a_tenth_of_the_documents(spark, docs):
+    """Ten pages that share a tenth's boilerplate are not copies: shingles in less than an eighth weigh by their frequency too."""
+    boiler = prose(13, 120)
+    rows = [(k, " ".join((boiler if k < 10 else prose(2000 + k, 120)) + prose(1000 + k, 12))) for k in range(100)]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(rows), "").count() == 100
+
+
 def test_mixing(docs, spark):
     rows = []
     for s, source in enumerate(["b", "a", None, "B", "tiny"]):
