@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from benchloom.functions.columns import uniform
 from benchloom.operators.skew import cache_parts, hot_keys, lookup_join, per_salt, sliced_join, with_salt
-from benchloom.storage import cut
+from benchloom.storage import Scratch, cut
 
 # Random edges that are drawn from one array at a time.
 BLOCK = 10_000
@@ -22,6 +23,9 @@ DRAWS = 16
 # Most targets of a vertex in one row.
 BLOCK_TARGETS = 1024
 
+# Targets that triangles send at a time: so many for each pair of neighbours, and so many in any case.
+SENT_PER_PAIR, SENT_AT_ONCE = 2, 32_000_000
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each pair of neighbours once, smaller id first, without self-loops."""
@@ -43,14 +47,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def _pointed(pairs: DataFrame, size: DataFrame) -> DataFrame:
-    """Each pair from its end of lower (degree, id) to the other."""
+def _pointed(pairs: DataFrame, size: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each pair from its end of lower (degree, id) to the other. The pairs are shuffled for one end at a time."""
     sides = pairs
     for end, other in (("src", "dst"), ("dst", "src")):
-        order = size.select(F.col("id").alias(end), F.col("degree").alias("n"),
-                            F.struct("degree", "id").alias(f"{end}_order"))
-        sides = lookup_join(sides, order, end, [other])
-    up = F.col("src_order") < F.col("dst_order")
+        degree = size.select(F.col("id").alias(end), F.col("degree").alias("n"), F.col("degree").alias(f"{end}_degree"))
+        sides = lookup_join(sides, degree, end, [other])
+        if end == "src":
+            sides = scratch.cut(sides, "one-end")
+            scratch.drop("pairs")
+    up = F.struct("src_degree", "src") < F.struct("dst_degree", "dst")
     return sides.select(
         F.when(up, F.col("src")).otherwise(F.col("dst")).alias("low"),
         F.when(up, F.col("dst")).otherwise(F.col("src")).alias("high"),
@@ -95,28 +101,47 @@ def triangles(edges: DataFrame) -> DataFrame:
     target of both ends of one of its edges. Targets lie in blocks of bounded size; of the two ends of an
     edge, that with fewer targets sends each of them to the one block of the other where it may be. So an edge sends
     the shorter list once, no row holds more than a block, and a vertex of very many targets or
-    edges is spread over its blocks, and over slices of these.
+    edges is spread over its blocks, and over slices of these. Receiving vertices take turns, so that no more than a few targets
+    for each pair of neighbours are under way at a time, however dense the graph, and tables are removed after their last use.
     """
-    pairs = cut(undirected(edges), "pairs")
-    size = cut(degrees(pairs).select("id", "degree"), "degrees")
-    pointed = cut(_pointed(pairs, size), "pointed")
-    reach = pointed.groupBy(F.col("low").alias("id")).agg(F.count("*").alias("reach"))
-    # A vertex without targets has part in triangles as the last corner only.
-    vertices = cut(size.join(reach, "id").withColumn("buckets", _buckets("reach")), "reaches")
-    blocks = cut(adjacency_blocks(pointed, vertices), "blocks")
-    both = pointed
-    for end, other in (("low", "high"), ("high", "low")):
-        known = vertices.select(F.col("id").alias(end), F.col("degree").alias("n"), F.col("reach").alias(f"{end}_reach"), F.col("buckets").alias(f"{end}_buckets"))
-        both = lookup_join(both, known, end, [other])
-    up = F.col("low_reach") <= F.col("high_reach")
-    pulls = cut(both.select(
-        *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (
-            ("low", "high", "from"), ("high", "low", "to"), ("low_buckets", "high_buckets", "from_buckets"), ("high_buckets", "low_buckets", "to_buckets"))],
-    ), "pulls")
-    hot = {c: hot_keys(cut(pulls.groupBy(c).agg(F.count("*").alias("n")), f"{c}-counts"), c) for c in ("from", "to")}
-    sent = sliced_join(pulls, blocks.select(F.col("low").alias("from"), "bucket", "targets"), "from", hot["from"], ["to"])
+    with Scratch(edges.sparkSession, "triangles") as scratch:
+        pairs = scratch.cut(undirected(scratch.cut(edges.select("src", "dst"), "edges")), "pairs")
+        scratch.drop("edges")
+        size = scratch.cut(degrees(pairs).select("id", "degree"), "degrees")
+        pointed = scratch.cut(_pointed(pairs, size, scratch), "pointed")
+        scratch.drop("one-end")
+        reach = pointed.groupBy(F.col("low").alias("id")).agg(F.count("*").alias("reach"))
+        # A vertex without targets has part in triangles as the last corner only.
+        vertices = scratch.cut(size.join(reach, "id").withColumn("buckets", _buckets("reach")), "reaches")
+        blocks = scratch.cut(adjacency_blocks(pointed, vertices), "blocks")
+        both = pointed
+        for end, other in (("low", "high"), ("high", "low")):
+            known = vertices.select(F.col("id").alias(end), F.col("degree").alias("n"), F.col("reach").alias(f"{end}_reach"), F.col("buckets").alias(f"{end}_buckets"))
+            both = scratch.cut(lookup_join(both, known, end, [other]), f"{end}-ends")
+            scratch.drop("pointed" if end == "low" else "low-ends")
+        up = F.col("low_reach") <= F.col("high_reach")
+        pulls = scratch.cut(both.select(
+            *[F.when(up, F.col(a)).otherwise(F.col(b)).alias(c) for a, b, c in (
+                ("low", "high", "from"), ("high", "low", "to"), ("low_buckets", "high_buckets", "from_buckets"), ("high_buckets", "low_buckets", "to_buckets"),
+                ("low_reach", "high_reach", "n"))],
+        ), "pulls")
+        scratch.drop("high-ends")
+        n_pairs, n_sent = size.agg(F.coalesce(F.sum("degree"), F.lit(0)) / 2).first()[0], pulls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hot = {c: hot_keys(scratch.cut(pulls.groupBy(c).agg(F.count("*").alias("n")), f"{c}-counts"), c) for c in ("from", "to")}
+        rounds = max(1, math.ceil(n_sent / max(SENT_PER_PAIR * n_pairs, SENT_AT_ONCE)))
+        parts = [scratch.cut(_corners(pulls.drop("n"), blocks, hot, k, rounds), "corners") for k in range(rounds)]
+        if rounds == 1:
+            return cut(parts[0], "triangles")
+        scratch.drop("blocks", "pulls")
+        return cut(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("triangles").alias("triangles")), "triangles")
+
+
+def _corners(pulls: DataFrame, blocks: DataFrame, hot: dict[str, DataFrame], turn: int, turns: int) -> DataFrame:
+    """Triangles at each vertex, of those found at receiving vertices whose turn it is."""
+    here = F.pmod(F.xxhash64("to", F.lit(turns)), F.lit(turns)) == turn if turns > 1 else F.lit(True)
+    sent = sliced_join(pulls.where(here), blocks.select(F.col("low").alias("from"), "bucket", "targets"), "from", hot["from"], ["to"])
     sent = sent.select("from", "to", F.inline(_split("targets", "bucket", "from_buckets", "to_buckets"))).where(F.size("sent") > 0)
-    held = blocks.select(F.col("low").alias("to"), "bucket", "targets")
+    held = blocks.select(F.col("low").alias("to"), "bucket", "targets").where(here)
     common = with_salt(sent, "to", hot["to"], ["from"], "_slice").join(
         per_salt(held, "to", hot["to"], "_slice"), ["to", "bucket", "_slice"],
     ).select("from", "to", F.array_intersect("sent", "targets").alias("apex"))

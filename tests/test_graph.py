@@ -203,3 +203,15 @@ def test_lognormal_edges_are_drawn_in_as_many_tasks_as_they_call_for(spark, monk
     dealt = graph.lognormal_edges(spark.range(200).coalesce(1), 200, mu=2.0, sigma=0.8, seed=3)
     assert whole.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() > 10
     assert dealt.exceptAll(whole).isEmpty() and whole.exceptAll(dealt).isEmpty()
+
+
+def test_triangles_in_turns_equal_brute_force_and_leave_one_table(spark, monkeypatch, lookup_size, no_auto_broadcast):
+    monkeypatch.setattr(graph, "SENT_PER_PAIR", 0)
+    monkeypatch.setattr(graph, "SENT_AT_ONCE", 100)
+    turns, plain, stored, cut = [], graph._corners, [], graph.cut
+    monkeypatch.setattr(graph, "_corners", lambda *args: turns.append(args[-2:]) or plain(*args))
+    monkeypatch.setattr(graph, "cut", lambda df, name: stored.append(name) or cut(df, name))
+    pairs = hub_graph(4) + list(combinations(range(100, 120), 2)) + [(None, 3), (3, None)]
+    got = {r.id: r.triangles for r in graph.triangles(edges_of(spark, pairs)).collect()}
+    assert got == brute_triangles([p for p in pairs if None not in p])
+    assert len(turns) > 5 and [k for k, _ in turns] == list(range(turns[0][1])) and stored == ["triangles"]

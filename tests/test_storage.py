@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from benchloom import storage
 
@@ -55,3 +57,23 @@ def test_scratch_tables_go_after_an_error(spark):
         path = scratch.cut(spark.range(3), "step").inputFiles()[0]
         1 / 0
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_a_cut_leaves_no_shuffle_files_and_the_setting_as_it_was(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), shuffled()
+    frame = spark.range(50_000).selectExpr("id % 997 AS k", "id").groupBy("k").agg(F.collect_list("id").alias("ids"))
+    with storage.Scratch(spark) as scratch:
+        storage.cut(frame, "grouped")
+        first, second = (scratch.cut(frame, name).inputFiles()[0].removeprefix("file://") for name in ("first", "second"))
+        scratch.drop("first")
+        assert os.path.exists(second) and not os.path.exists(first)
+    # They are removed in the background.
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(key) == setting
