@@ -172,3 +172,22 @@ def test_svdpp_shuffles_sums_of_cells_and_not_ratings(spark, no_auto_broadcast,
     assert "FlatMapCoGroupsInArrow" in plan
     monkeypatch.undo()
     assert [R.cell_side(n) for n in (0, 600_000, 3_600_000, 36_000_000, 216_000_000)] == [1, 2, 3, 3, 8]
+
+
+def test_als_blocks_fit_the_heap_of_a_task(spark):
+    """At 216 million ratings and 900 MB a task a block has no more ratings than one of 10 at 36 million, and few ratings have 10."""
+    assert 50 <= R.als_blocks(216_000_000, 900 << 20) <= 70
+    assert R.als_blocks(600_000, 900 << 20) == R.als_blocks(36_000_000, 2 << 30) == 10
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    assert R.task_heap(spark) == heap // 8
+
+
+def test_als_makes_its_blocks_by_the_heap_and_keeps_stored_factors_alone(spark, monkeypatch):
+    frame, asked, plain = spark.createDataFrame(planted(), SCHEMA), [], R.als_blocks
+    monkeypatch.setattr(R, "als_blocks", lambda *args: asked.append(args) or plain(*args))
+    fitted = R.fit_als(frame, rank=2, iters=2)
+    assert asked == [(frame.count(), R.task_heap(spark))]
+    for factors in (fitted.model.userFactors, fitted.model.itemFactors):
+        assert "FileScan parquet" in plan_of(factors) and "ExistingRDD" not in plan_of(factors)
+    folder = f"{work_dir(spark)}/benchloom".removeprefix("file:")
+    assert not [n for n in os.listdir(folder) if n.startswith("als-") and not n.startswith("als-model-")]
