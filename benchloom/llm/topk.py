@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: tiles of queries and shards, partial selection, merge tree.
 
-Queries and candidates are packed into blocks of rows. A tile is one query block with one shard;
-both are repeated only as often as they have partners, so a task holds two bounded matrices. A tile
-gives its k best per query by partial selection. Lists are then merged in a tree of fixed fan-in.
+Queries and candidates are packed into blocks of rows. A tile is one query block with one shard. Tiles are grouped in a grid of
+cells, some query blocks by some shards: a block goes to each cell of its row, a shard to each of its column, by a shuffle that no
+driver sees, so a task holds a bounded number of matrices. A tile gives its k best per query by partial selection. Lists are merged in their
+cell and then in a tree of fixed fan-in.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from benchloom.storage import cut
 QUERY_BLOCK = 1024
 SHARD_ROWS = 8192
 FAN_IN = 8
+# Query blocks, and shards, of one cell.
+CELL_BLOCKS, CELL_SHARDS = 8, 4
 
-PACKED = "ids binary, vectors binary, dim int"
 LISTS = "block long, place long, queries binary, ids binary, scores binary, counts binary"
 
 
@@ -33,12 +35,22 @@ def quantized(vector: str, scale: int = 64) -> Column:
     return F.when(good, F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * scale)))
 
 
+def _narrow(matrix: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as they all fit."""
+    low, high = (int(matrix.min()), int(matrix.max())) if matrix.size else (0, 0)
+    return matrix.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)).tobytes()
+
+
+def _matrix(raw: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"i{len(raw) // (rows * dim)}" if raw else np.int64).astype(np.int64).reshape(rows, dim)
+
+
 def _pack(rows: DataFrame, block: Column, name: str) -> DataFrame:
     """Rows (id, vector) packed into matrices of one dimension each; ids ascend in each block."""
     def packed(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         matrix = np.array(frame["vector"].tolist(), dtype=np.int64).reshape(len(frame), -1)
-        return pd.DataFrame({name: [keys[0]], "dim": [keys[1]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [matrix.tobytes()]})
+        return pd.DataFrame({name: [keys[0]], "dim": [keys[1]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [_narrow(matrix)]})
 
     return (
         rows.select(block.alias(name), F.size("vector").alias("dim"), "id", "vector")
@@ -108,26 +120,35 @@ def top_k(
     asked_packed = _pack(asked, F.pmod(F.xxhash64("id", "vector"), F.lit(n_blocks)), "block")
     shards = _pack(searched, F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_shards)), "shard")
     asked_packed, shards = cut(asked_packed, "query-blocks"), cut(shards, "vector-shards")
-    def each(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-
-    left = asked_packed.select("block", "dim", each(n_shards).alias("shard"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    right = shards.select("shard", "dim", each(n_blocks).alias("block"), "ids", "vectors")
-
-    def tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for row in frame.itertuples(index=False):
-                q_ids, ids = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.ids, np.int64)
-                products = _products(
-                    np.frombuffer(row.q_vectors, np.int64).reshape(len(q_ids), row.dim),
-                    np.frombuffer(row.vectors, np.int64).reshape(len(ids), row.dim),
-                )
-                best = []
-                for query, scores in zip(q_ids, products, strict=True):
+    n_rows, n_columns = parts_for(n_blocks, CELL_BLOCKS), parts_for(n_shards, CELL_SHARDS)
+    cell = ["row", "column", "dim"]
+
+    def in_cells(packed: DataFrame, own: Column, n: int) -> DataFrame:
+        """Packed rows in every cell of their row or column of the grid; as many tasks as cells."""
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        at = (own, F.col("other")) if "block" in packed.columns else (F.col("other"), own)
+        placed = packed.withColumn("other", other).withColumns(dict(zip(("row", "column"), at, strict=True))).drop("other")
+        return placed.repartition(n_rows * n_columns, *cell)
+
+    left = in_cells(asked_packed, F.pmod("block", F.lit(n_rows).cast("long")), n_columns)
+    right = in_cells(shards, F.pmod("shard", F.lit(n_columns).cast("long")), n_rows)
+
+    def tiles(keys: tuple, blocks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """Of each query block of a cell: the best of all its tiles there."""
+        out, dim = [], int(keys[2])
+        for block in blocks.itertuples(index=False):
+            q_ids = np.frombuffer(block.ids, np.int64)
+            asked_rows, best = _matrix(block.vectors, len(q_ids), dim), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q_ids)
+            for shard in held.itertuples(index=False):
+                ids = np.frombuffer(shard.ids, np.int64)
+                products = _products(asked_rows, _matrix(shard.vectors, len(ids), dim))
+                for at, (query, scores) in enumerate(zip(q_ids, products, strict=True)):
                     own = ids == query
-                    best.append(_best(ids[~own], scores[~own], k) if own.any() else _best(ids, scores, k))
-                # Blocks of other dimensions share the block number; the dimension keeps them apart.
-                yield _listed(row.block * (1 << 31) + row.dim, row.shard, q_ids, best)
+                    found = _best(ids[~own], scores[~own], k) if own.any() else _best(ids, scores, k)
+                    best[at] = _best(*map(np.concatenate, zip(best[at], found, strict=True)), k)
+            # Blocks of other dimensions share the block number; the dimension keeps them apart.
+            out.append(_listed(block.block * (1 << 31) + dim, int(keys[1]), q_ids, best))
+        return pd.concat(out) if out and len(held) else pd.DataFrame({c.split()[0]: [] for c in LISTS.split(", ")})
 
     def merge(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         asked_ids = np.frombuffer(frame["queries"].iloc[0], np.int64)
@@ -151,9 +172,8 @@ def top_k(
                 })
 
     spark = queries.sparkSession
-    tiles = left.join(right, ["block", "shard", "dim"]).repartition(max(n_blocks * n_shards, 1), "block", "shard")
-    lists = tiles.mapInPandas(tile, LISTS)
-    width = n_shards
+    lists = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(tiles, LISTS)
+    width = n_columns
     while width > 1:
         lists = lists.withColumn("place", F.floor(F.col("place") / FAN_IN)).groupBy("block", "place").applyInPandas(merge, LISTS)
         width = parts_for(width, FAN_IN)

@@ -223,3 +223,23 @@ def test_a_repeated_query_is_one_query(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id) for r in topk.top_k(table.where("vec_id = 20"), table, k=2).collect()]
     assert sorted(got) == [(1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("cell", [(8, 4), (1, 2)])
+def test_no_tile_is_broadcast_and_cells_give_what_tiles_give(spark, monkeypatch, cell):
+    """Small compressed tables were joined by a broadcast of all copies of the query blocks, which the driver builds."""
+    monkeypatch.setattr(topk, "CELL_BLOCKS", cell[0])
+    monkeypatch.setattr(topk, "CELL_SHARDS", cell[1])
+    draw = random.Random(8)
+    rows = [(k % 190, [draw.choice([-2.0, 0.5, 0.1, 300.0 if k % 7 == 0 else 1.0]) for _ in range(3)]) for k in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(frame.where("vec_id % 10 = 0"), frame, k=4, query_block=5, shard_rows=20)
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan and "FlatMapCoGroupsInPandas" in plan
+    good = [(k, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for k, v in rows]
+    want = set()
+    for q, v in good:
+        if q % 10 == 0 and sum(k == q for k, _ in good) == 1:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), k) for k, w in good if k != q)[:4]
+            want |= {(q, i + 1, k, -s) for i, (s, k) in enumerate(scored)}
+    assert {tuple(r) for r in found.collect() if sum(k == r.query_id for k, _ in good) == 1} == want
