@@ -216,3 +216,26 @@ def test_texts_are_scored_in_smaller_pieces_than_they_are_counted():
     counted = [b.num_rows for b, _ in lm._texts([batch], "text")]
     scored = [b.num_rows for b, _ in lm._texts([batch], "text", lm._SCORED_BYTES)]
     assert sum(counted) == sum(scored) == 40 and len(scored) > 2 * len(counted)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_a_filter_in_buckets_leaves_no_ngram_out(spark, order, monkeypatch):
+    """However small the filter that may be broadcast, the scores are those of a filter with all n-grams."""
+    monkeypatch.setattr(lm, "HOME_BYTES", 3000)
+    monkeypatch.setattr(lm, "BUCKET_GRAMS", 300)
+    rows = corpus(6)
+    frame = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, home int").repartition(3)
+    train = frame["doc_id"] % 3 != 0
+    want = lm.score(frame, lm.fit(frame.where(train), order=order), ["doc_id", "home"]).collect()
+    got = lm.fit_and_score(frame, train, ["doc_id", "home"], order=order, filter_bytes=1 << 10)
+    assert got.columns == ["doc_id", "home", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    key = lambda r: (r[1], r[0], *(round(x, 6) for x in r[2:]))
+    got, want = sorted(map(key, got.collect()), key=str), sorted(map(key, want), key=str)
+    assert len(got) == len(rows) and got == want
+
+
+def test_a_model_has_all_ngrams_unless_it_is_bounded(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{k * 7919 % 100_003}" for k in range(lo, lo + 500)),) for lo in range(0, 40_000, 500)], "text string")
+    assert lm.fit(texts).filter.lowest == (1, 1)
+    bounded = lm.fit(texts, filter_bytes=1 << 16).filter
+    assert bounded.bits.nbytes == 1 << 16 and bounded.lowest != (1, 1)
